@@ -49,9 +49,6 @@ class _Pairs:
         self.items = items
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, parse_float=str, parse_int=str, parse_constant=str)
-
-
 def record_key(name: str | None, category: str | None, attributes: str | None) -> bytes:
     """Digest of a record up to case, white space, punctuation and the notation of its JSON.
 
@@ -61,7 +58,7 @@ def record_key(name: str | None, category: str | None, attributes: str | None) -
     fields = ""
     if attributes:
         try:
-            parsed = _DECODER.decode(attributes.strip())
+            parsed = json.loads(attributes, object_pairs_hook=_Pairs, parse_float=str, parse_int=str, parse_constant=str)
         except ValueError:
             parsed = attributes
         if isinstance(parsed, _Pairs):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import notation
+from pairloom.llm import notation, products
 from pairloom.sources.tables import scan
 
 
@@ -18,6 +18,14 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notation.collapsed(scan(spark, sf_dir, "items"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_pairs(scan(spark, sf_dir, "items"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_groups(scan(spark, sf_dir, "items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
