@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import notation, products
+from pairloom.llm import fusion, groups, notation, products, quota, splits
 from pairloom.sources.tables import scan
 
 
@@ -18,6 +19,18 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notation.collapsed(scan(spark, sf_dir, "items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.torn_comps(scan(spark, sf_dir, "folds_v1"))
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(scan(spark, sf_dir, "folds_v1"), scan(spark, sf_dir, "split_targets"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.match_groups(scan(spark, sf_dir, "matches_llm"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.product_pairs(scan(spark, sf_dir, "items"))
 
@@ -26,6 +39,19 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.product_groups(scan(spark, sf_dir, "items"))
 
 
+def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = fusion.pair_scores(scan(spark, sf_dir, "mine_candidates"), scan(spark, sf_dir, "matches_llm"))
+    return fusion.fuse(scores, ["id1", "id2"], ["ab", "ba", "votes"]).select("id1", "id2", F.round("fused", 12).alias("fused"), "position")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.shortfalls(scan(spark, sf_dir, "matches_llm"), scan(spark, sf_dir, "items", "id", "category"), scan(spark, sf_dir, "sample_targets"))
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.quota_sample(scan(spark, sf_dir, "matches_llm"), scan(spark, sf_dir, "items", "id", "category"), scan(spark, sf_dir, "sample_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
