@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fusion, groups, notation, products, quota, splits
+from pairloom.llm import fusion, groups, notation, overlap, products, quota, splits
 from pairloom.sources.tables import scan
 
 
@@ -44,6 +44,18 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(scores, ["id1", "id2"], ["ab", "ba", "votes"]).select("id1", "id2", F.round("fused", 12).alias("fused"), "position")
 
 
+def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.leaked_cards(*[scan(spark, sf_dir, t) for t in ("hardval_v1", "hardval_v1_items", "transitive_pairs", "items")])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaked(spark, sf_dir).select("id1", "id2").distinct()
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(_leaked(spark, sf_dir), scan(spark, sf_dir, "hardval_v1_items"), scan(spark, sf_dir, "items", "id", "seller_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.shortfalls(scan(spark, sf_dir, "matches_llm"), scan(spark, sf_dir, "items", "id", "category"), scan(spark, sf_dir, "sample_targets"))
 
