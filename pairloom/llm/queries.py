@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fusion, groups, notation, overlap, products, quota, splits
+from pairloom.llm import fusion, groups, leakage, mixing, notation, overlap, products, quota, splits
 from pairloom.sources.tables import scan
 
 
@@ -64,6 +64,31 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.quota_sample(scan(spark, sf_dir, "matches_llm"), scan(spark, sf_dir, "items", "id", "category"), scan(spark, sf_dir, "sample_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = scan(spark, sf_dir, "eval_passages")
+    return leakage.leak_report(leakage.leaks(scan(spark, sf_dir, "documents"), passages, paraphrases=True), passages)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "items", "id", "category"), scan(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).plan.where("short").select("source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).drawn
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
