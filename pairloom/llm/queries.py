@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fusion, groups, leakage, mixing, notation, overlap, products, quota, splits
+from pairloom.llm import fusion, groups, leakage, mixing, notation, overlap, products, quota, residue, splits
 from pairloom.sources.tables import scan
 
 
@@ -89,6 +89,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_scores(scan(spark, sf_dir, "documents")).where("found").select("doc_id")
+
+
+def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.validation_report(scan(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
