@@ -55,7 +55,7 @@ def attribute_entries(attributes: Column) -> Column:
     """
     pairs = F.transform(raw_entries(attributes), lambda e: F.struct(F.lower(strip(e.key)).alias("k"), strip(F.coalesce(e.value, F.lit("None"))).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p.k))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p.k == k), -1)
+    last = lambda k: F.try_element_at(F.filter(pairs, lambda p: p.k == k), F.lit(-1))
     return F.when(F.size(keys) == F.size(pairs), pairs).otherwise(F.transform(keys, lambda k: F.struct(k.alias("k"), last(k).v.alias("v"))))
 
 
@@ -68,7 +68,7 @@ def card_text(name: Column, category: Column, attributes: Column, cap: int, valu
     said = lambda v: (v != "") & ~F.lower(v).isin(NO_VALUE)
     shown = lambda e: F.concat(e.k, F.lit("="), F.substring(e.v, 1, value_cap))
     order = F.array(*[F.lit(k) for k in PRIORITY_KEYS])
-    first = F.filter(F.transform(order, lambda k: F.element_at(F.filter(entries, lambda e: (e.k == k) & said(e.v)), 1)), lambda e: e.isNotNull())
+    first = F.filter(F.transform(order, lambda k: F.try_element_at(F.filter(entries, lambda e: (e.k == k) & said(e.v)), F.lit(1))), lambda e: e.isNotNull())
     rest = F.filter(entries, lambda e: (e.v != "") & ~(F.array_contains(order, e.k) & said(e.v)))
     joined = F.array_join(F.transform(F.concat(first, rest), shown), "; ")
     return F.concat_ws(" | ", F.coalesce(category, F.lit("None")), F.coalesce(name, F.lit("None")), F.substring(joined, 1, cap))
@@ -79,7 +79,7 @@ def prompt_card(name: Column, attributes: Column, max_attributes: int = 28, valu
     pairs = F.transform(raw_entries(attributes), lambda e: F.struct(e.key.alias("k"), F.coalesce(e.value, F.lit("None")).alias("v")))
     kept = F.filter(pairs, lambda e: (strip(e.v) != "") & ~e.k.rlike(PROMPT_DROP))
     order = F.array(*[F.lit(k) for k in PROMPT_KEYS])
-    first = F.filter(F.transform(order, lambda k: F.element_at(F.filter(kept, lambda e: e.k == k), -1)), lambda e: e.isNotNull())
+    first = F.filter(F.transform(order, lambda k: F.try_element_at(F.filter(kept, lambda e: e.k == k), F.lit(-1))), lambda e: e.isNotNull())
     rest = F.filter(kept, lambda e: ~F.array_contains(order, e.k))
     shown = F.transform(F.slice(F.concat(first, rest), 1, max_attributes), lambda e: F.concat(e.k, F.lit(": "), F.substring(e.v, 1, value_cap)))
     block = F.substring(F.array_join(shown, "; "), 1, block_cap)

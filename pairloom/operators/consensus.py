@@ -117,7 +117,7 @@ def align(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
 def key_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """(only_left, only_right): how many unordered pairs one table has and the other lacks; one full outer join."""
     a, b = left.select("lo", "hi").distinct().withColumn("_a", F.lit(1)), right.select("lo", "hi").distinct().withColumn("_b", F.lit(1))
-    return a.join(b, ["lo", "hi"], "full").agg(F.count_if("_b is null").alias("only_left"), F.count_if("_a is null").alias("only_right"))
+    return a.join(b, ["lo", "hi"], "full").agg(F.count_if(F.expr("_b is null")).alias("only_left"), F.count_if(F.expr("_a is null")).alias("only_right"))
 
 
 def content_duplicates(pairs: DataFrame, order: list[Column]) -> DataFrame:

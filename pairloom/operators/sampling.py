@@ -28,16 +28,16 @@ def smallest_per_group(df: DataFrame, groups: list[str], key: str, quota: str) -
     taken, and only rows of that range are sorted, 1/4096 of a group, so a group that holds
     a third of all rows is never sorted in one task.
     """
-    cell = df.withColumn("_cell", F.substring(key, 1, 3))
-    counts = cell.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_q"))
-    upto = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    room = counts.withColumn("_room", F.col("_q") - F.coalesce(F.sum("_n").over(upto), F.lit(0))).where("_room > 0").select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_cell").alias("_c"), "_room", "_n")
-    same = F.col("_cell") == F.col("_c")
+    cell = df.withColumn("_spg_cell", F.substring(key, 1, 3))
+    counts = cell.groupBy(*groups, "_spg_cell").agg(F.count(F.lit(1)).alias("_spg_n"), F.max(quota).alias("_spg_q"))
+    upto = Window.partitionBy(*groups).orderBy("_spg_cell").rowsBetween(Window.unboundedPreceding, -1)
+    room = counts.withColumn("_spg_room", F.col("_spg_q") - F.coalesce(F.sum("_spg_n").over(upto), F.lit(0))).where("_spg_room > 0").select(*[F.col(g).alias(f"_spg_g_{g}") for g in groups], F.col("_spg_cell").alias("_spg_c"), "_spg_room", "_spg_n")
+    same = F.col("_spg_cell") == F.col("_spg_c")
     for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"_spg_g_{g}"))
     open_rows = cell.join(room, same)
-    whole = open_rows.where("_n <= _room")
-    last = open_rows.where("_n > _room").withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy(key))).where("_r <= _room").drop("_r")
+    whole = open_rows.where("_spg_n <= _spg_room")
+    last = open_rows.where("_spg_n > _spg_room").withColumn("_spg_r", F.row_number().over(Window.partitionBy(*groups, "_spg_cell").orderBy(key))).where("_spg_r <= _spg_room").drop("_spg_r")
     return whole.unionByName(last).select(*df.columns)
 
 
