@@ -76,9 +76,10 @@ def assign_splits(rows: DataFrame, targets: DataFrame, known: DataFrame | None =
     category of most of its rows.  Rows that name no node are components of their own.
     Large components (LARGE_PART of a category, so a bounded number) are placed one by one
     where most is missing; the many small ones by portions of a hash, so no task sorts or
-    collects them.
+    collects them.  Columns of these names that rows already have are replaced.
     """
     names = [(r.split, float(r.target_share)) for r in targets.orderBy(F.desc("target_share"), "split").collect()]
+    rows = rows.drop("component", "split", "nodes")
     rows = rows.withColumn("_row", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]))
     rows = cut(row_nodes(rows), "rows")
     table = cut(merged(rows, known), "table")
