@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fusion, groups, leakage, mixing, notation, overlap, products, quota, residue, splits
+from pairloom.llm import fusion, groups, leakage, mixing, notation, overlap, products, quota, residue, splits, sql
 from pairloom.sources.tables import scan
 
 
@@ -102,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.TEXTS)
