@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the white space that the reference's language strips and collapses.
@@ -48,40 +50,51 @@ def raw_entries(attributes: Column) -> Column:
     return F.coalesce(parsed, F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def attribute_entries(attributes: Column) -> Column:
-    """array<struct<k, v>> with keys stripped and in lower case, values stripped; of equal keys the first place and the last value.
+def with_entries(df: DataFrame, out: str = "entries", attributes: str = "attributes", normalised: bool = True) -> DataFrame:
+    """``df`` with ``out``: array<struct<k, v>> of a JSON object; of equal keys the first place and the last value.
 
-    A JSON null reads as None, as in the reference; nested values and booleans keep their JSON text.
+    With ``normalised`` keys are stripped and in lower case and values stripped.  A JSON null
+    reads as None, as in the reference; nested values and booleans keep their JSON text.  The
+    steps are columns of their own: later expressions refer to the parsed result often, and
+    Catalyst would otherwise parse again for each.
     """
-    pairs = F.transform(raw_entries(attributes), lambda e: F.struct(F.lower(strip(e.key)).alias("k"), strip(F.coalesce(e.value, F.lit("None"))).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p.k))
-    last = lambda k: F.try_element_at(F.filter(pairs, lambda p: p.k == k), F.lit(-1))
-    return F.when(F.size(keys) == F.size(pairs), pairs).otherwise(F.transform(keys, lambda k: F.struct(k.alias("k"), last(k).v.alias("v"))))
+    value = lambda e: F.coalesce(e.value, F.lit("None"))
+    if normalised:
+        pair = lambda e: F.struct(F.lower(strip(e.key)).alias("k"), strip(value(e)).alias("v"))
+    else:
+        pair = lambda e: F.struct(e.key.alias("k"), value(e).alias("v"))
+    staged = df.withColumn("_raw", raw_entries(F.col(attributes))).withColumn("_pairs", F.transform("_raw", pair)).withColumn("_keys", F.array_distinct(F.transform("_pairs", lambda p: p.k)))
+    last = lambda k: F.try_element_at(F.filter("_pairs", lambda p: p.k == k), F.lit(-1))
+    merged = F.when(F.size("_keys") == F.size("_pairs"), F.col("_pairs")).otherwise(F.transform("_keys", lambda k: F.struct(k.alias("k"), last(k).v.alias("v"))))
+    return staged.withColumn(out, merged).drop("_raw", "_pairs", "_keys")
+
+
+def _ordered(entries: Column, order: list[str], leads: Callable[[Column], Column]) -> Column:
+    """``entries`` with those of ``order`` that lead first, in its order, then the rest as they are."""
+    keys = F.array(*[F.lit(k) for k in order])
+    place = lambda e: F.array_position(keys, e.k)
+    placed = F.transform(entries, lambda e, i: F.struct(F.when((place(e) > 0) & leads(e), place(e)).otherwise(F.lit(1000) + i).cast("bigint").alias("at"), e.k.alias("k"), e.v.alias("v")))
+    return F.array_sort(placed)
+
+
+def card_text(name: Column, category: Column, entries: Column, cap: int, value_cap: int = 60) -> Column:
+    """'category | name | k=v; k=v' with the priority attributes first; the joined attributes are cut at ``cap``.
 
+    ``entries`` is the column of with_entries.  A priority attribute whose value says nothing
+    loses its place and comes with the rest.
+    """
+    said = F.filter(entries, lambda e: e.v != "")
+    parts = F.transform(_ordered(said, PRIORITY_KEYS, lambda e: ~F.lower(e.v).isin(NO_VALUE)), lambda e: F.concat(e.k, F.lit("="), F.substring(e.v, 1, value_cap)))
+    return F.concat_ws(" | ", F.coalesce(category, F.lit("None")), F.coalesce(name, F.lit("None")), F.substring(F.array_join(parts, "; "), 1, cap))
 
-def card_text(name: Column, category: Column, attributes: Column, cap: int, value_cap: int = 60) -> Column:
-    """'category | name | k=v; k=v' with the priority attributes first; the joined attributes are cut at ``cap``.
 
-    A priority attribute whose value says nothing is skipped in its place and comes with the rest.
+def prompt_card(name: Column, entries: Column, max_attributes: int = 28, value_cap: int = 120, block_cap: int = 1200, name_cap: int = 220) -> Column:
+    """The card as an annotator's prompt shows it: name, then up to ``max_attributes`` attributes, telling ones first.
+
+    ``entries`` is the column of with_entries(normalised=False).
     """
-    entries = attribute_entries(attributes)
-    said = lambda v: (v != "") & ~F.lower(v).isin(NO_VALUE)
-    shown = lambda e: F.concat(e.k, F.lit("="), F.substring(e.v, 1, value_cap))
-    order = F.array(*[F.lit(k) for k in PRIORITY_KEYS])
-    first = F.filter(F.transform(order, lambda k: F.try_element_at(F.filter(entries, lambda e: (e.k == k) & said(e.v)), F.lit(1))), lambda e: e.isNotNull())
-    rest = F.filter(entries, lambda e: (e.v != "") & ~(F.array_contains(order, e.k) & said(e.v)))
-    joined = F.array_join(F.transform(F.concat(first, rest), shown), "; ")
-    return F.concat_ws(" | ", F.coalesce(category, F.lit("None")), F.coalesce(name, F.lit("None")), F.substring(joined, 1, cap))
-
-
-def prompt_card(name: Column, attributes: Column, max_attributes: int = 28, value_cap: int = 120, block_cap: int = 1200, name_cap: int = 220) -> Column:
-    """The card as an annotator's prompt shows it: name, then up to ``max_attributes`` attributes, telling ones first."""
-    pairs = F.transform(raw_entries(attributes), lambda e: F.struct(e.key.alias("k"), F.coalesce(e.value, F.lit("None")).alias("v")))
-    kept = F.filter(pairs, lambda e: (strip(e.v) != "") & ~e.k.rlike(PROMPT_DROP))
-    order = F.array(*[F.lit(k) for k in PROMPT_KEYS])
-    first = F.filter(F.transform(order, lambda k: F.try_element_at(F.filter(kept, lambda e: e.k == k), F.lit(-1))), lambda e: e.isNotNull())
-    rest = F.filter(kept, lambda e: ~F.array_contains(order, e.k))
-    shown = F.transform(F.slice(F.concat(first, rest), 1, max_attributes), lambda e: F.concat(e.k, F.lit(": "), F.substring(e.v, 1, value_cap)))
+    kept = F.filter(entries, lambda e: (strip(e.v) != "") & ~e.k.rlike(PROMPT_DROP))
+    shown = F.transform(F.slice(_ordered(kept, PROMPT_KEYS, lambda e: F.lit(True)), 1, max_attributes), lambda e: F.concat(e.k, F.lit(": "), F.substring(e.v, 1, value_cap)))
     block = F.substring(F.array_join(shown, "; "), 1, block_cap)
     return F.concat(F.lit(PROMPT_NAME), F.substring(F.coalesce(name, F.lit("None")), 1, name_cap), F.lit("\n" + PROMPT_ATTRIBUTES), block)
 

@@ -69,7 +69,7 @@ def holdout_pairs(s: SparkSession, d: str) -> DataFrame:
 def texts(s: SparkSession, d: str, cap: int, ids: DataFrame | None = None) -> DataFrame:
     rows = cards(s, d, "name", "category", "attributes")
     rows = rows if ids is None else rows.join(ids, "id", "left_semi")
-    return rows.select("id", T.card_text(F.col("name"), F.col("category"), F.col("attributes"), cap).alias("text"))
+    return T.with_entries(rows).select("id", T.card_text(F.col("name"), F.col("category"), F.col("entries"), cap).alias("text"))
 
 
 def lexical(s: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
@@ -138,14 +138,20 @@ def q_card_text(s, d):
     return texts(s, d, TRAIN_CAP)
 
 
+def prompt_cards(rows: DataFrame) -> DataFrame:
+    return T.with_entries(rows, normalised=False).select("id", T.prompt_card(F.col("name"), F.col("entries")).alias("card"))
+
+
 @query
 def q_prompt_card(s, d):
-    return cards(s, d, "name", "attributes").select("id", T.prompt_card(F.col("name"), F.col("attributes")).alias("card"))
+    return prompt_cards(cards(s, d, "name", "attributes"))
 
 
 @query
 def q_messages(s, d):
-    return L.messages(P.attach(scan(s, d, "hardval_v1").distinct(), cards(s, d, "name", "attributes").select("id", T.prompt_card(F.col("name"), F.col("attributes")).alias("card")), "card")).select("id1", "id2", "label", "user")
+    pairs = scan(s, d, "hardval_v1").distinct()
+    shown = prompt_cards(cards(s, d, "name", "attributes").join(P.endpoints(pairs), "id", "left_semi"))
+    return L.messages(P.attach(pairs, shown, "card")).select("id1", "id2", "label", "user")
 
 
 @query

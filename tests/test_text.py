@@ -24,17 +24,17 @@ CASES = [
 @pytest.mark.parametrize(("attributes", "_", "expected"), CASES)
 def test_card_text(spark, attributes, _, expected):
     df = spark.createDataFrame([("n", "c", attributes)], "name string, category string, attributes string")
-    assert df.select(T.card_text(F.col("name"), F.col("category"), F.col("attributes"), 350)).head()[0] == f"c | n | {expected}"
+    assert T.with_entries(df).select(T.card_text(F.col("name"), F.col("category"), F.col("entries"), 350)).head()[0] == f"c | n | {expected}"
 
 
 def test_card_text_cuts_the_joined_text(spark):
     df = spark.createDataFrame([(None, None, '{"a":"1","b":"2"}')], "name string, category string, attributes string")
-    assert df.select(T.card_text(F.col("name"), F.col("category"), F.col("attributes"), 6)).head()[0] == "None | None | a=1; b"
+    assert T.with_entries(df).select(T.card_text(F.col("name"), F.col("category"), F.col("entries"), 6)).head()[0] == "None | None | a=1; b"
 
 
 def test_cap_counts_code_points(spark):
     df = spark.createDataFrame([("n", "c", '{"a":"😀😀😀"}')], "name string, category string, attributes string")
-    assert df.select(T.card_text(F.col("name"), F.col("category"), F.col("attributes"), 4)).head()[0] == "c | n | a=😀😀"
+    assert T.with_entries(df).select(T.card_text(F.col("name"), F.col("category"), F.col("entries"), 4)).head()[0] == "c | n | a=😀😀"
 
 
 @pytest.mark.parametrize("row", [(" A  B", "{}", "C"), ("İ", "x\x1cy", "c"), ("ΑΣ", None, None), (None, " z ", "Ж"), ("", "", "")])
@@ -47,7 +47,7 @@ def test_fingerprint_is_that_of_the_plain_formula(spark, row):
 
 def test_prompt_card(spark):
     df = spark.createDataFrame([("n", '{"гарантийный срок":"1","цвет":"x","артикул":"A","z":" "}')], "n string, a string")
-    assert df.select(T.prompt_card(F.col("n"), F.col("a"))).head()[0] == "Название: n\nАтрибуты: артикул: A; цвет: x"
+    assert T.with_entries(df, attributes="a", normalised=False).select(T.prompt_card(F.col("n"), F.col("entries"))).head()[0] == "Название: n\nАтрибуты: артикул: A; цвет: x"
 
 
 def test_jaccard(spark):
