@@ -24,7 +24,8 @@ class LexicalScorer:
     """Word-set Jaccard of the two texts; built-in expressions only."""
 
     def score(self, pairs: DataFrame, name: str) -> DataFrame:
-        return pairs.withColumn(name, set_jaccard(words(F.col("text1")), words(F.col("text2")), 0.0))
+        staged = pairs.withColumn("_words1", words(F.col("text1"))).withColumn("_words2", words(F.col("text2")))
+        return staged.withColumn(name, set_jaccard(F.col("_words1"), F.col("_words2"), 0.0)).drop("_words1", "_words2")
 
 
 class ModelScorer:
