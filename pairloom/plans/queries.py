@@ -100,7 +100,7 @@ def annotator_scores(s: SparkSession, d: str) -> DataFrame:
 
 def judged(s: SparkSession, d: str) -> DataFrame:
     """Weak pairs with the consensus of the two annotators; a hash flag stands for a rule's conflict."""
-    rows = annotator_scores(s, d)
+    rows = cut(annotator_scores(s, d), "scores")  # as a table of annotators' scores would be
     for t in ("a", "b"):
         rows = rows.withColumn(f"p_{t}", S.platt(F.col(f"{t}_logit"), 1.0, 0.0)).withColumn(f"gap_{t}", S.order_gap(F.col(f"{t}_ab"), F.col(f"{t}_ba"), 1.0, 0.0))
     rows = rows.withColumn("identifier_conflict", (salted("rule") % 20 == 0).cast("double"))
