@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.graph import propagate
 from pairloom.workspace import Table, cut, write_table
 
 
@@ -48,34 +49,6 @@ def _peel(both: DataFrame, max_frontiers: int) -> tuple[Table | None, bool]:
     return seen, False
 
 
-def propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, label) of every endpoint of ``edges`` (a, b): ``label`` is the smallest node of its component.
-
-    Each round takes the smallest label among the neighbours and then follows the label's own
-    label (pointer jumping), so a chain of n nodes needs about log n rounds.
-    """
-    both = cut(_both_ways(edges).where("a <> b").distinct(), "both")
-    labels = write_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
-        own = labels.df
-        near = both.join(own.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        lower = own.join(near, own.node == near.a, "left").select("node", "label", F.least("label", "other").alias("new"))
-        # the label's own node learns of the smaller label too: hooks whole trees, not only leaves
-        hooks = lower.where("new < label").groupBy("label").agg(F.min("new").alias("hook")).withColumnRenamed("label", "root")
-        hooked = lower.join(hooks, lower.label == hooks.root, "left").select("node", "label", F.least("new", "hook").alias("new"))
-        stage = write_table(hooked, "hooked")
-        jump = stage.df.select(F.col("node").alias("at"), F.col("new").alias("further"))
-        later = write_table(stage.df.join(jump, F.col("new") == F.col("at"), "left").select("node", F.least("new", "further").alias("label"), (F.least("new", "further") != F.col("label")).alias("moved")), "labels")
-        settled = later.df.where("moved").isEmpty()
-        stage.drop()
-        labels.drop()
-        later.df = later.df.select("node", "label")
-        labels = later
-        if settled:
-            return labels.df
-    raise RuntimeError(f"components not settled in {max_rounds} rounds")
-
-
 def components(edges: DataFrame, max_frontiers: int = 12) -> DataFrame:
     """(node, label): connected components of ``edges`` (a, b); ``label`` is the smallest node.
 
