@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranking import cumulative_in_groups
+
 
 def average_precision(scored: DataFrame, group: str, score: str, label: str) -> DataFrame:
     """(group, n, pos, ap): step-wise average precision over distinct thresholds.
 
-    Rows are first aggregated to one per group and score, so the window works on thresholds.
+    Rows are first aggregated to one per group and score; running sums span partitions, so a
+    group that holds a third of all rows is not sorted in one task.
     """
     steps = scored.groupBy(group, score).agg(F.sum(F.col(label).cast("double")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(group).orderBy(F.col(score).desc())
-    whole = Window.partitionBy(group)
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    part = F.try_divide(F.sum("tp").over(upto), F.sum("n").over(upto)) * F.col("tp")
-    rows = steps.select(group, "tp", "n", part.alias("part"), F.sum("tp").over(whole).alias("pos"))
-    return rows.groupBy(group).agg(F.sum("n").alias("n"), F.max("pos").cast("bigint").alias("pos"), F.try_divide(F.sum("part"), F.max("pos")).alias("ap"))
+    run = cumulative_in_groups(steps, group, [F.col(score).desc()], {"tp_upto": F.col("tp"), "n_upto": F.col("n")})
+    part = F.try_divide(F.col("tp_upto"), F.col("n_upto")) * F.col("tp")
+    sums = run.groupBy(group).agg(F.sum("n").alias("n"), F.sum("tp").alias("pos"), F.sum(part).alias("part"))
+    return sums.select(group, "n", F.col("pos").cast("bigint").alias("pos"), F.try_divide("part", "pos").alias("ap"))
 
 
 def macro_average_precision(per_group: DataFrame, eligibility: str, min_pos: int = 5) -> DataFrame:
@@ -35,8 +36,8 @@ def percentile_rank(df: DataFrame, group: str, score: str, name: str) -> DataFra
     Ranks are computed over distinct scores and joined back, not by a window over all rows.
     """
     values = df.groupBy(group, score).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_n").over(up)
-    rank = ((upto - F.col("_n") + 1 + upto) / 2) / F.sum("_n").over(Window.partitionBy(group))
-    ranks = values.select(F.col(group).alias("_g"), F.col(score).alias("_s"), rank.alias(name))
+    sizes = df.groupBy(F.col(group).alias("_h")).agg(F.count(F.lit(1)).alias("_size"))
+    run = cumulative_in_groups(values, group, [F.col(score)], {"_upto": F.col("_n")}).join(sizes, F.col(group).eqNullSafe(F.col("_h")))
+    rank = ((F.col("_upto") - F.col("_n") + 1 + F.col("_upto")) / 2) / F.col("_size")
+    ranks = run.select(F.col(group).alias("_g"), F.col(score).alias("_s"), rank.alias(name))
     return df.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & F.col(score).eqNullSafe(F.col("_s"))).drop("_g", "_s")

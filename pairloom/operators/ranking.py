@@ -12,18 +12,39 @@ from pyspark.sql import functions as F
 from pairloom.workspace import cut
 
 
-def cumulative(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over all rows up to this one in ``order``.
+def cumulatives(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, under each name of ``values``, the sum of that column over all rows up to this one in ``order``.
 
     ``order`` should be total: ties would fall into one partition and get any order.
     """
-    ranged = cut(df.withColumn("_v", value).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy("_p").agg(F.sum("_v").alias("_s"))  # one row per partition
+    inner = {name: f"_v{i}" for i, name in enumerate(values)}
+    staged = df.withColumns({inner[n]: v for n, v in values.items()})
+    ranged = cut(staged.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_p").agg(*[F.sum(c).alias(c) for c in inner.values()])  # one row per partition
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    offsets = parts.select(F.col("_p").alias("_at"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o{c}") for c in inner.values()])
     inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("_c", F.sum("_v").over(inside))
-    return summed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_c") + F.col("_o")).drop("_v", "_p", "_c", "_o")
+    summed = ranged.withColumns({f"_c{c}": F.sum(c).over(inside) for c in inner.values()}).join(F.broadcast(offsets), F.col("_p") == F.col("_at"))
+    return summed.select(*df.columns, *[(F.col(f"_c{c}") + F.col(f"_o{c}")).alias(n) for n, c in inner.items()])
+
+
+def cumulative(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows up to this one in the total ``order``."""
+    return cumulatives(df, order, {name: value})
+
+
+def cumulative_in_groups(df: DataFrame, group: str, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """As cumulatives, but starting anew in each ``group``; a group may span partitions, so a huge one costs no single task.
+
+    What came before a group is known from the groups' totals, one row each.
+    """
+    summed = cumulatives(df, [F.col(group), *order], values)
+    names = list(values)
+    totals = df.groupBy(group).agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values.values())])
+    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col(group).alias("_g"), *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(names))])
+    joined = summed.join(starts, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.select(*df.columns, *[(F.col(n) - F.col(f"_b{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
