@@ -94,14 +94,18 @@ def variance_weights(rows: DataFrame, name: str, target: str = "target") -> Data
     return raw.join(F.broadcast(middle)).withColumn(name, S.clip(F.col("_w") / F.col("_m"), 0.4, 2.0)).drop("_w", "_m")
 
 
-def training_pool(s: SparkSession, d: str, min_confidence: float = 0.2, extra_limit: int = 2000, extra_pos: float = 0.35, human_weight: float = 1.5) -> DataFrame:
-    """(id1, id2, target, weight, stream): weak base, transitive extras that override it, and human pairs, all purged of the holdout's cards."""
+def training_pool(s: SparkSession, d: str, min_confidence: float = 0.2, extra_limit: int = 0, extra_pos: float = 0.35, human_weight: float = 1.5) -> DataFrame:
+    """(id1, id2, target, weight, stream): weak base, transitive extras that override it, and human pairs, all purged of the holdout's cards.
+
+    ``extra_limit`` caps the extras, ``extra_pos`` of them positive; 0 keeps all.
+    """
     held = cut(P.endpoints(scan(s, d, "hardval_v1", "id1", "id2")), "held")
     base = P.exclude_entities(P.weak_pairs(scan(s, d, "matches_llm", "id1", "id2", "target")), held).where(S.confidence(F.col("target")) >= min_confidence)
     base = base.select("id1", "id2", "target", S.base_weight(F.col("target")).alias("weight"))
     one = lambda df, c: df.where(f"id1 <> id2 and {c} is not null").groupBy(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).agg(F.max(c).cast("double").alias("target"))
     extra = P.exclude_entities(one(scan(s, d, "transitive_pairs"), "target"), held).withColumn("key", random_key("extra", F.col("id1"), F.col("id2"))).withColumn("positive", F.col("target") >= 0.5)
-    extra = cut(capped(cut(extra, "extra"), "positive", "key", extra_limit, extra_pos).select("id1", "id2", "target", F.lit(1.0).alias("weight")), "extra")
+    extra = capped(cut(extra, "extra"), "positive", "key", extra_limit, extra_pos) if extra_limit else extra
+    extra = cut(extra.select("id1", "id2", "target", F.lit(1.0).alias("weight")), "extra")
     people = P.exclude_entities(one(scan(s, d, "folds_v1").where("fold <> 0"), "target"), held).withColumn("weight", F.lit(human_weight))
     tagged = lambda df, name: df.withColumn("stream", F.lit(name))
     return tagged(P.exclude_pairs(base, extra), "base").unionByName(tagged(extra, "extra")).unionByName(tagged(people, "human"))
