@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import scores as S
+from pairloom.functions import text as T
 from pairloom.operators import pairs as P
 from pairloom.operators.sampling import random_key, smallest_per_group
 from pairloom.sources.tables import scan
@@ -94,19 +95,31 @@ def variance_weights(rows: DataFrame, name: str, target: str = "target") -> Data
     return raw.join(F.broadcast(middle)).withColumn(name, S.clip(F.col("_w") / F.col("_m"), 0.4, 2.0)).drop("_w", "_m")
 
 
+def banned_cards(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(id), (id): cards of the holdout and all with content of holdout or fold-0 cards; and the cards of fold 0."""
+    fp = T.fingerprint(F.col("name"), F.col("attributes"), F.col("category")).alias("fp")
+    held = cut(P.endpoints(scan(s, d, "hardval_v1", "id1", "id2")), "held")
+    first = cut(P.endpoints(scan(s, d, "folds_v1").where("fold = 0").select("id1", "id2")), "first")
+    cards = cut(P.latest_cards(scan(s, d, "items", "id", "name", "attributes", "category", "loaded_at")).select("id", fp), "fps")
+    shown = scan(s, d, "hardval_v1_items").join(held, "id", "left_semi").select(fp)
+    fps = shown.unionByName(cards.join(first, "id", "left_semi").select("fp")).distinct()
+    return cut(held.unionByName(cards.join(fps, "fp", "left_semi").select("id")).distinct(), "banned"), first
+
+
 def training_pool(s: SparkSession, d: str, min_confidence: float = 0.2, extra_limit: int = 0, extra_pos: float = 0.35, human_weight: float = 1.5) -> DataFrame:
-    """(id1, id2, target, weight, stream): weak base, transitive extras that override it, and human pairs, all purged of the holdout's cards.
+    """(id1, id2, target, weight, stream): weak base, transitive extras that override it, and human pairs, none touching a card of the holdout or content of holdout or fold-0 cards.
 
-    ``extra_limit`` caps the extras, ``extra_pos`` of them positive; 0 keeps all.
+    Human pairs also touch no card of fold 0 itself; a null fold is not fold 0.  ``extra_limit``
+    caps the extras, ``extra_pos`` of them positive; 0 keeps all.
     """
-    held = cut(P.endpoints(scan(s, d, "hardval_v1", "id1", "id2")), "held")
+    held, first = banned_cards(s, d)
     base = P.exclude_entities(P.weak_pairs(scan(s, d, "matches_llm", "id1", "id2", "target")), held).where(S.confidence(F.col("target")) >= min_confidence)
     base = base.select("id1", "id2", "target", S.base_weight(F.col("target")).alias("weight"))
     one = lambda df, c: df.where(f"id1 <> id2 and {c} is not null").groupBy(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).agg(F.max(c).cast("double").alias("target"))
     extra = P.exclude_entities(one(scan(s, d, "transitive_pairs"), "target"), held).withColumn("key", random_key("extra", F.col("id1"), F.col("id2"))).withColumn("positive", F.col("target") >= 0.5)
     extra = capped(cut(extra, "extra"), "positive", "key", extra_limit, extra_pos) if extra_limit else extra
     extra = cut(extra.select("id1", "id2", "target", F.lit(1.0).alias("weight")), "extra")
-    people = P.exclude_entities(one(scan(s, d, "folds_v1").where("fold <> 0"), "target"), held).withColumn("weight", F.lit(human_weight))
+    people = P.exclude_entities(P.exclude_entities(one(scan(s, d, "folds_v1").where("fold is null or fold <> 0"), "target"), held), first).withColumn("weight", F.lit(human_weight))
     tagged = lambda df, name: df.withColumn("stream", F.lit(name))
     return tagged(P.exclude_pairs(base, extra), "base").unionByName(tagged(extra, "extra")).unionByName(tagged(people, "human"))
 
