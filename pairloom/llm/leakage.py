@@ -3,8 +3,9 @@
 Latent semantic retrieval.  The evaluation passages are cut into overlapping segments, weighted by
 TF-IDF, and a randomised SVD (range finder with power iterations, its products summed over
 partitions) gives a latent space.  Windows of every document are projected into it; segments
-within a cosine bound are candidates.  Candidates are then checked word by word: a run of
-consecutive common words for leaks, the longest common subsequence for paraphrases.
+within a cosine bound are candidates, which are then checked for a run of consecutive common
+words.  Paraphrases may replace any word, so their candidates are all passages of which a
+document has enough words in whatever order; the longest common subsequence decides.
 """
 
 from __future__ import annotations
@@ -125,13 +126,20 @@ class PassageIndex:
             self.basis = latent_basis(table, self.idf, self.slots)
             latent = _dense(segments, self.idf, self.slots) @ self.basis
             self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
+        # passages too short to leak are no case of a paraphrase either
+        self.sizes = np.array([len(w) if len(w) >= RUN_WORDS else np.inf for w in self.words])
+        held: dict[str, list[tuple[int, int]]] = {}
+        for p, words in enumerate(self.words):
+            for w, n in Counter(words).items():
+                held.setdefault(w, []).append((p, n))
+        self.held = {w: np.array(ps, np.int64) for w, ps in held.items()}
         self.grams = [{tuple(w[i : i + RUN_WORDS]) for i in range(len(w) - RUN_WORDS + 1)} for w in self.words]
 
-    def candidates(self, words: list[str], min_known: int) -> dict[int, list[tuple[int, int]]]:
+    def candidates(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """Spans of ``words`` by the passage whose segments they resemble.
 
-        Only stretches of at least ``min_known`` words of the passages' vocabulary are looked
-        at: no leak can lie outside them.
+        Only stretches of at least RUN_WORDS words of the passages' vocabulary are looked at:
+        no leak can lie outside them.
         """
         idf = self.idf
         spans: list[tuple[int, int]] = []
@@ -140,7 +148,7 @@ class PassageIndex:
             if i < len(words) and words[i] in idf:
                 start = i if start is None else start
             elif start is not None:
-                if i - start >= min_known:
+                if i - start >= RUN_WORDS:
                     spans += [(start + a, start + b) for a, b in _spans(i - start, WINDOW, WINDOW_STEP)]
                 start = None
         found: dict[int, list[tuple[int, int]]] = {}
@@ -160,23 +168,40 @@ class PassageIndex:
     def leaks(self, words: list[str]) -> list[int]:
         """Positions of the passages of which ``words`` hold RUN_WORDS consecutive words."""
         out = []
-        for p, spans in self.candidates(words, RUN_WORDS).items():
+        for p, spans in self.candidates(words).items():
             grams = self.grams[p]
             if any(tuple(words[i : i + RUN_WORDS]) in grams for a, b in set(spans) for i in range(a, b - RUN_WORDS + 1)):
                 out.append(p)
         return out
 
+    def paraphrases(self, words: list[str]) -> list[tuple[int, float]]:
+        """Positions of the passages of which ``words`` keep PARAPHRASE in order, and the part kept.
+
+        The words in common, in any order, bound the longest common subsequence from above, so
+        no paraphrase is lost.
+        """
+        counts = {w: n for w, n in Counter(words).items() if w in self.held}
+        if not counts:
+            return []
+        held = [self.held[w] for w in counts]
+        at, n = np.concatenate(held).T
+        common = np.bincount(at, np.minimum(n, np.repeat(list(counts.values()), [len(h) for h in held])), len(self.words))
+        shares = ((int(p), _lcs(self.words[p], words) / len(self.words[p])) for p in np.flatnonzero(common / self.sizes >= PARAPHRASE))
+        return [(p, share) for p, share in shares if share >= PARAPHRASE]
+
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return row[-1]
+    """Length of the longest common subsequence; a bit for each word of ``a``, one step for each of ``b``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for y in b:
+        if y in places:
+            hit = free & places[y]
+            free = (free + hit | free - hit) & full
+    return len(a) - free.bit_count()
 
 
 def _indexes(passages: DataFrame) -> Iterator[PassageIndex]:
@@ -209,12 +234,9 @@ def _search(documents: DataFrame, index: PassageIndex, paraphrases: bool) -> Dat
                 for p in sorted(exact):
                     docs.append(doc), items.append(index.ids[p]), runs.append(True), shares.append(1.0)
                 if paraphrases:
-                    for p, spans in index.candidates(words, 4).items():
+                    for p, share in index.paraphrases(words):
                         if p not in exact:
-                            a, b = min(s[0] for s in spans), max(s[1] for s in spans)
-                            share = _lcs(index.words[p], words[a:b]) / max(1, len(index.words[p]))
-                            if share >= PARAPHRASE:
-                                docs.append(doc), items.append(index.ids[p]), runs.append(False), shares.append(share)
+                            docs.append(doc), items.append(index.ids[p]), runs.append(False), shares.append(share)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(runs, pa.bool_()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "verbatim", "share"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, verbatim boolean, share double")

@@ -294,6 +294,26 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(table, passages.where("false")).count() == 0
 
 
+def test_paraphrases_with_words_replaced(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"p{i}w{k}" if k % 2 else f"общее{rng.randint(0, 20)}" for k in range(16 + i)), "t") for i in range(12)] + [(50, "а б в г д", "t")]
+    replaced = lambda text, n: " ".join(f"иное{k}" if k % n == n - 1 else w for k, w in enumerate(text.split()))
+    docs = [(100 * n + i, "начало " * rng.randint(0, 30) + replaced(t, n) + " конец" * rng.randint(0, 30)) for i, t, _ in texts[:-1] for n in (2, 3, 4)]
+    docs += [(900, " ".join(reversed(texts[0][1].split()))), (901, "а б в г ж"), (902, None), (903, texts[1][1].replace(" ", " x "))]
+
+    def plain_lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, r=row, x=x: r[j - 1] + 1 if x == b[j - 1] else max(left, r[j]), initial=0))
+        return row[-1]
+
+    kept = lambda t, p: plain_lcs(leakage.words_of(p), leakage.words_of(t)) / len(leakage.words_of(p))
+    want = sorted((d, i) for d, t in docs for i, p, _ in texts[:-1] if kept(t, p) >= leakage.PARAPHRASE)
+    assert {(100 * n + i, i) for i, _, _ in texts[:-1] for n in (3, 4)} | {(903, 1)} <= set(want)
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(texts, "item_id bigint, text string, task string"), paraphrases=True)
+    assert ids(got, "doc_id", "item_id") == want and got.where("verbatim").count() == 0
+
+
 def test_blocks_of_passages(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK", 2)
     texts = [(i, " ".join(f"w{i}x{k}" for k in range(12)), "t") for i in range(5)]
