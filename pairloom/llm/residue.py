@@ -4,7 +4,7 @@ Two regularised linear classifiers on hashed n-grams, length and title features.
 come from phrases (status lines, script demands, filler) and from the notations of template
 slots.  One classifier judges whole documents (is this a message or filler in place of
 content?), the other single passages around special characters (is this an unfilled slot?);
-a slot also has to pass an exact check of its notation.  Both are fitted on a bounded
+a known notation needs only a low score, and without one the score decides alone.  Both are fitted on a bounded
 sample of labelled rows and validated on sources that training never saw.
 """
 
@@ -32,6 +32,8 @@ DIMS, PENALTY, STEPS = 1 << 16, 3e-6, 200
 COVER = 0.3
 #: A text of at least so many words, of which at most this part are distinct, is filler.
 MONOTONE_WORDS, MONOTONE_PART = 20, 0.5
+#: Scores from which a text is a message, and a passage a slot: with a known notation, and by its score alone.
+MESSAGE, SLOT_KNOWN, SLOT_ALONE = 0.5, 0.2, 0.5
 #: One source in so many is kept for validation.
 HELD_OUT = 4
 
@@ -44,8 +46,8 @@ PHRASES = [
 ]
 # Notations of template slots and of technical values in their place.
 SLOTS = [
-    r"\{\{.{0,60}?\}", r"\{%.{0,60}?%\}", r"<%.{0,60}?%>", r"\$\{[^{}\n]{1,60}\}", r"\$\([a-z_]\w*\)", r"%\([a-z_]\w*\)[sd]", r"%%[A-Z_]\w*%%", r"%[A-Z][A-Z_]+%", r"@@\w+@@", r"~[a-z_]+~", r"\*\|\w+\|\*", r"#[A-Z][A-Z_]+#", r"__[A-Z][A-Z_]*__",
-    r"<<[^<>\n]{1,40}>>", r"&lt;[\w ]{1,40}&gt;", r"<(?:бренд|название|цена|размер|цвет|имя|укажите[^<>]{0,30}|вставьте[^<>]{0,30}|name|brand|title|price|size|colou?r|insert[^<>]{0,30}|your[^<>]{0,30})>", r"\{[A-Za-zА-Яа-яё]\w*\}", r"\{\d\}", r"\[\[[^\[\]\n]{1,40}\]\]", r"\[(?:[A-ZА-ЯЁ]{3,}(?: [A-ZА-ЯЁ]{2,})*|вставить[^\]\n]{0,40}|вставьте[^\]\n]{0,40}|укажите[^\]\n]{0,40}|your [^\]\n]{1,40}|insert [^\]\n]{1,40})\]",
+    r"\{\{(?:[^{}\n]|\{(?!\{))*\}", r"\{%(?:(?!\{%|%\}).)*%\}", r"<%(?:(?!<%|%>).)*%>", r"\$\{[^{}\n]+\}", r"\$\([a-z_]\w*\)", r"%\([a-z_]\w*\)[sd]", r"%%[A-Z_]\w*%%", r"%[A-Z][A-Z_]+%", r"@@\w+@@", r"~[a-z_]+~", r"\*\|\w+\|\*", r"#[A-Z][A-Z_]+#", r"__[A-Z][A-Z_]*__",
+    r"<<[^<>\n]+>>", r"&lt;[\w ]+&gt;", r"<(?:бренд|название|цена|размер|цвет|имя|укажите[^<>]*|вставьте[^<>]*|name|brand|title|price|size|colou?r|insert[^<>]*|your[^<>]*)>", r"\{[A-Za-zА-Яа-яё]\w*\}", r"\{\d\}", r"\[\[[^\[\]\n]+\]\]", r"\[(?:[A-ZА-ЯЁ]{3,}(?: [A-ZА-ЯЁ]{2,})*|вставить[^\]\n]*|вставьте[^\]\n]*|укажите[^\]\n]*|your [^\]\n]+|insert [^\]\n]+)\]",
     r"вставьте_\w+", r"\[object object\]",
 ]
 # Words a program prints for a missing value.
@@ -56,6 +58,7 @@ _SLOT = re.compile("|".join(SLOTS))
 _SLOT_ANY_CASE = re.compile("|".join(s for s in SLOTS if "A-Z" not in s), re.I)
 _TECHNICAL = re.compile(TECHNICAL, re.I)
 _SPECIAL = re.compile(r"[{}<>\[\]$%@~#*_|&]|undefined|nan|null|object", re.I)
+_SIGN = re.compile(r"[{}<>\[\]$%@~#*_|&]")
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -201,9 +204,13 @@ class ResidueModel:
         if not text or not text.strip():
             return 0.0, 0.0, False
         message = self.document.score(document_features(text))
-        slots = [self.passage.score(passage_features(s)) for s in passages(text) if slot(s)]
-        best = max(slots, default=0.0)
-        return message, best, message >= 0.5 or best >= 0.2
+        known, alone = 0.0, 0.0
+        for s in passages(text):
+            if slot(s):
+                known = max(known, self.passage.score(passage_features(s)))
+            elif _SIGN.search(s):
+                alone = max(alone, self.passage.score(passage_features(s)))
+        return message, max(known, alone), message >= MESSAGE or known >= SLOT_KNOWN or alone >= SLOT_ALONE
 
 
 def fit(documents: DataFrame, validation: bool = False, limit: int = SAMPLE_ROWS) -> tuple[ResidueModel, list]:

@@ -378,6 +378,22 @@ def test_residue_cases(spark):
     assert residue.residue_scores(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["{{ title | default: %s}}", "{%% if %s%%}", "<%% %s%%>", "${%s}", "<<%s>>", "&lt;%s&gt;", "<укажите %s>", "[[%s]]", "[вставить %s]", "[your %s]"])
+def test_slots_of_any_length(text):
+    assert residue.slot(text % ("очень длинно " * 20))
+
+
+def test_slots_of_unlisted_notation_are_found_by_score(spark):
+    content = ["Пользуемся на балконе, претензий нет.", "Набор {4 шт.} тут, 100% хлопок.", "Поля [А] и [Б], цена < 5."]
+    slots = [f"{a} {{{{{n}}}}} {b}" for n in ("color", "name", "title", "size", "price") for a, b in (("Цвет", "хороший."), ("Бренд", "радует."))] + [f"Цена {{{n}}} тут." for n in ("price", "cost", "name")]
+    rows = [(i, content[i % 3], "s") for i in range(90)] + [(100 + i, slots[i % len(slots)], "s") for i in range(60)] + [(200, "Цвет {{product.title тут.", "s"), (201, "Цена {product.title} тут.", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    train = df.where("doc_id < 200")
+    assert not any(residue.slot(r[1]) for r in rows[-2:])
+    model, _ = residue.fit(train)
+    assert [model.judge(r[1])[2] for r in rows] == [r[0] >= 100 for r in rows]
+
+
 # ---- queries
 
 
