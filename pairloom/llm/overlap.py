@@ -26,7 +26,7 @@ from pairloom.workspace import cut
 NEAR = 0.6
 #: The same with the article code, or brand and line, in common.
 NEAR_NAMED = 0.3
-#: Pairs of identity words are formed of a card's first so many words; longer names meet by their chunks.
+#: Pairs of identity words are formed of cards with at most so many; cards with more are joined on single words.
 MOST_WORDS = 12
 #: A chunk ends at a word whose hash has these bits zero: one word in two.
 CUT_MASK = 1
@@ -89,7 +89,7 @@ def chunked(cards: DataFrame, lexicon: set[str]) -> DataFrame:
             texts = list(zip(batch.column("name").to_pylist(), batch.column("attributes").to_pylist(), strict=True))
             facts = [reader.read(n, a) for n, a in texts]
             cut_up = [record_chunks(n, a) | {_digest(f"w {x}"): len(x) for x in [*f[0], f[1]] if x} for (n, a), f in zip(texts, facts, strict=True)]
-            names = [[*([_digest(f"c {f[1]}")] if f[1] else []), *(_digest(f"p {a} {b}") for a, b in combinations(f[0][:MOST_WORDS], 2))] for f in facts]
+            names = [[*([_digest(f"c {f[1]}")] if f[1] else []), *(_digest(f"p {a} {b}") for a, b in (combinations(f[0], 2) if len(f[0]) <= MOST_WORDS else ()))] for f in facts]
             ident, code, colour, dim, amount, pack = zip(*facts, strict=True) if facts else ([],) * 6
             yield pa.RecordBatch.from_arrays(
                 [
@@ -143,6 +143,23 @@ def _prefixes(side: DataFrame, rarity: DataFrame) -> DataFrame:
     return prefix.select("id", "total", "facts", F.col("p.chunk").alias("chunk"))
 
 
+def _long_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id1, id2): cards that share two identity words and of which one has more than MOST_WORDS, without a clash of facts.
+
+    Two sets with two words in common share one of all but the most frequent word of either.
+    """
+    word = lambda side: side.select("id", _facts().alias("facts"), "ident", (F.size("ident") > MOST_WORDS).alias("long"), F.explode("ident").alias("word"))
+    words = [word(side) for side in (left, right)]
+    df = cut(words[0].unionByName(words[1]).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.max("long").alias("used")).where("used").drop("used"), "words")
+    met = []
+    for n, each in zip((1, 2), words, strict=True):
+        last = each.join(df, "word").groupBy("id").agg(F.max(F.struct("df", "word")).alias("last"), F.count(F.lit(1)).alias("n"))
+        kept = each.join(df.select("word"), "word", "left_semi").join(last, "id").where("n > 1 and word <> last.word")
+        met.append(kept.select(F.col("id").alias(f"id{n}"), F.col("facts").alias(f"f{n}"), F.col("ident").alias(f"ident{n}"), F.col("long").alias(f"long{n}"), "word"))
+    both = met[0].join(met[1], "word").where((F.col("long1") | F.col("long2")) & _calm("f1", "f2"))
+    return both.where(F.size(F.array_intersect("ident1", "ident2")) > 1).select("id1", "id2")
+
+
 def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """(id1, id2, share1, share2): cards of ``evaluation`` and ``training`` (id, name, attributes) that are nearly the same.
 
@@ -164,7 +181,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     fits = F.least("total1", "total2") >= NEAR_NAMED * F.greatest("total1", "total2")
     named = [side.select(F.col("id").alias(f"id{n}"), _facts().alias(f"f{n}"), F.explode("names").alias("name")) for n, side in ((1, left), (2, right))]
     calm = _calm("f1", "f2")
-    met = p1.join(p2, "chunk").where(fits & calm).select("id1", "id2").unionByName(named[0].join(named[1], "name").where(calm).select("id1", "id2"))
+    met = p1.join(p2, "chunk").where(fits & calm).select("id1", "id2").unionByName(named[0].join(named[1], "name").where(calm).select("id1", "id2")).unionByName(_long_names(left, right))
     candidates = met.where("id1 <> id2").distinct()
     one = lambda side, n: side.select(*[F.col(c).alias(f"{c}{n}") for c in ("id", "chunks", "sizes", "ident", "code")])
     pairs = candidates.join(one(left, 1), "id1").join(one(right, 2), "id2")

@@ -243,6 +243,20 @@ def test_overlaps(spark):
     assert overlap.overlaps(table([]), table(right)).count() == 0
 
 
+def test_overlaps_of_long_names_meet_by_their_last_words(spark):
+    long = lambda tag: " ".join(f"{tag}{x}{x}a" for x in "bcdfghjklmnpq")
+    same = json.dumps({"материал": "сталь", "гарантия": "1 год", "сезон": "лето", "страна": "республика далёкая северная приморская", "примечание": "хранить в сухом тёмном месте вдали от печи"}, ensure_ascii=False)
+    other = lambda i: [(i, f"zzgafosia zznomanex {long('ab')} вт", same)]
+    short = lambda i: [(i, "zzgafosia zznomanex прибор", same)]
+    table = lambda rows: spark.createDataFrame(rows, "id bigint, name string, attributes string")
+    plain = [(50 + i, f"zzgafosia prost{x}rok", "{}") for i, x in enumerate("bcd")]
+    unlike = [(60, f"zzgafosia {long('af')}", "{}")]
+    for a, b in ((other(1), short(2)), (short(1), other(2)), (other(1), [(2, f"zzgafosia zznomanex {long('ac')} вт", other(2)[0][2])])):
+        got = overlap.overlaps(table([*a, *plain]), table([*b, *unlike]))
+        assert (1, 2) in ids(got, "id1", "id2")
+        assert all(r.id2 != 60 for r in got.collect())
+
+
 def test_leaked_cards_include_equal_ids(spark):
     pair = "id1 bigint, id2 bigint"
     items = card_table(spark, [(1, "a", "c", "{}"), (5, "Лампа Gafos Nomano", "c", "{}"), (6, "лампа «Gafos» Nomano", "c", None)]).withColumn("rank", F.lit(3))
