@@ -1,9 +1,10 @@
 """Problem 1: records that say the same in another notation.
 
-Progressive partition refinement.  Every row gets a cheap invariant in the JVM (stripped
-length and a coarse letter histogram).  Only rows whose invariant is shared by several ids
-go on to the costly key: the parsed, sorted and stripped record.  The refinement is
-lossless because the invariant ignores all that the key ignores.
+Progressive partition refinement.  Every row gets a cheap invariant in the JVM (the stripped
+name and category).  Only rows whose invariant is shared by several ids go on to the costly
+key: the parsed, sorted and stripped record.  The refinement is lossless because the
+invariant ignores all that the key ignores; attributes are left to the key, as a field may be
+written twice, escaped or as a number without changing what they say.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 
 from pairloom.workspace import cut
 
-#: Letter classes whose counts form the coarse histogram.
-LETTER_CLASSES = ("оеё0135", "аиы2468", "нстmt79k", "рлвкnrlb")
-
 _DECIMAL = re.compile(r"(?<=\d)[.,](?=\d)")
 _OTHER = re.compile(r"[\W_]+")
 
@@ -77,13 +75,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), keys], ["id", "record_key"])
 
 
-def invariant(name: Column, category: Column, attributes: Column) -> Column:
-    """Hash of the stripped length and the counts of four letter classes."""
-    parsed = F.coalesce(F.get_json_object(attributes, "$"), attributes)
-    decoded = F.when(attributes.contains("\\"), F.regexp_replace(parsed, r'\\["\\/bfnrt]', " ")).otherwise(attributes)
-    stripped = F.regexp_replace(F.lower(F.concat_ws("", name, category, decoded)), r"[^\p{L}\p{Nd}]+", "")
-    counts = [F.length(F.translate(stripped, letters, "")) for letters in LETTER_CLASSES]
-    return F.xxhash64(F.length(stripped), *counts)
+def invariant(name: Column, category: Column) -> Column:
+    """Hash of the letters and digits of name and category; upper case last, which is alike for all forms of a letter."""
+    bare = lambda c: F.upper(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{Nd}]+", ""))
+    return F.xxhash64(bare(name), bare(category))
 
 
 def notation_keys(items: DataFrame) -> DataFrame:
@@ -93,7 +88,7 @@ def notation_keys(items: DataFrame) -> DataFrame:
     null id are no records.  An empty table gives an empty result.
     """
     rows = items.select("id", "name", "category", "attributes").where(F.col("id").isNotNull())
-    marked = cut(rows.select("id", invariant(F.col("name"), F.col("category"), F.col("attributes")).alias("inv")), "invariants")
+    marked = cut(rows.select("id", invariant(F.col("name"), F.col("category")).alias("inv")), "invariants")
     shared = marked.groupBy("inv").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("inv")
     several = marked.join(shared, "inv", "left_semi").select("id").distinct()
     texts = rows.join(several, "id", "left_semi")

@@ -45,6 +45,22 @@ def test_record_key(spark, a, b, same):
     assert got == same
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ('{"Цвет":"Красный","цвет":"красный"}', '{"Цвет":"Красный"}'),
+        ('{"вес":1.50,"цвет":"\\u0441иний"}', '{"вес":1.50,"цвет":"синий"}'),
+        ('{"n":1E5,"m":"a\\/b"}', '{"m":"a/b","n":1E5}'),
+        ('{"d":{"x":1,"X":1}}', '{"d":{"x":1}}'),
+    ],
+)
+def test_copies_reach_the_key(spark, a, b):
+    assert notation.record_key("n", "c", a) == notation.record_key("N!", "c", b)
+    table = card_table(spark, [(1, "n", "c", a), (2, "N!", "c", b), (3, "n", "c", '{"цвет":"белый"}')])
+    assert ids(notation.notation_pairs(table), "id1", "id2") == [(1, 2)]
+    assert ids(notation.collapsed(table), "class_id", "copies") == [(1, 2), (3, 1)]
+
+
 def spelt(rng, row):
     name, category, fields = row
     keys = list(fields)
