@@ -49,7 +49,7 @@ def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaked(spark, sf_dir).select("id1", "id2").distinct()
+    return _leaked(spark, sf_dir).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
