@@ -2,20 +2,29 @@
 
 A card is a name and a JSON text of attributes.  ``read_cards`` turns it into one thin row:
 identity words (brand and line in one script), article code, colour, one measure in base
-units, and pieces per pack.  Parsing runs in Arrow batches; everything after it is JVM-side.
+units, and pieces per pack.  The corpus is parsed once in Arrow batches; the same pass counts
+what its attributes use as words of kinds, colours, units and packs, as shapes of article
+codes, and which words names have beside brand and line.  A second pass over the thin rows
+reads the names by what was learned; everything after it is JVM-side.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from pairloom.llm.notation import record_key
+from pairloom.workspace import cut
 
 # Attribute names by the fact they state.
 KEY_FACTS = {
@@ -39,7 +48,7 @@ UNITS = {
     "г": ("mass", 1), "гр": ("mass", 1), "кг": ("mass", 1000), "kg": ("mass", 1000),
     "вт": ("power", 1), "квт": ("power", 1000),
 }
-# Colours, as the stem of the Russian adjective and the English word.
+# Translations of colours, as the stem of the Russian adjective and the English word.
 COLOURS = {
     "красн": "red", "розов": "pink", "бордов": "burgundy", "бежев": "beige", "сер": "grey", "бел": "white", "син": "blue",
     "фиолетов": "purple", "оранжев": "orange", "желт": "yellow", "черн": "black", "зелен": "green", "голуб": "light blue", "коричнев": "brown",
@@ -52,8 +61,8 @@ FILLER = set(
     "производителя доставкой премиум качество дома дачи скидка топ акция new sale новинка новый выгодно оригинал набор комплект шт штук штуки "
     "товар размер р ru".split()
 )
-# What stands for a missing brand.
-NO_BRAND = {"", "-", "нет", "без бренда", "нет бренда", "не определен"}
+# What stands for a missing value.
+NO_VALUE = {"", "-", "нет", "без бренда", "нет бренда", "не определен", "не указан", "не указано"}
 # Cyrillic to Latin.
 LATIN = dict(
     zip(
@@ -72,10 +81,17 @@ _TOKEN = re.compile(r"\d+(?:[.,]\d+)?|[a-zа-я]+")
 _FIELD = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?)(?=\s*[,}])')
 _MEASURES = ("length", "volume", "mass", "power")
 
-#: At most this many kind and material words are sent to the workers: the most frequent ones.
-LEXICON_WORDS = 100_000
+#: What the attributes of fewer cards state is not taken for a word of its kind.
+SEEN = 2
+#: A code shape counts if at least this part of all codes have it, a name's further word if it is beside brand and line in this part of the names.
+SHAPE_SHARE, FURTHER_SHARE = 0.01, 0.003
+#: Up to this many learned words are sent to the workers; more are joined to the cards that use them, with the same result.
+SENT_WORDS = 100_000
 
-CARD_SCHEMA = "id bigint, ident array<string>, code string, bare string, colour string, dim string, amount double, pack int"
+STATED = "id bigint, name string, brand string, line string, code string, colour string, dim string, amount double, pack int, kind string, bare string"
+CARD = "id bigint, ident array<string>, code string, bare string, colour string, dim string, amount double, pack int, fact binary"
+_STATED = [c.split()[0] for c in STATED.split(", ")]
+_CARD = [c.split()[0] for c in CARD.split(", ")]
 
 
 def latin(word: str) -> str:
@@ -83,6 +99,13 @@ def latin(word: str) -> str:
     return word.translate(_LATIN).replace("ks", "x")
 
 
+def colour_word(word: str) -> str:
+    """A colour's English word where there is a translation, else the word without the ending of an adjective."""
+    if word in _COLOUR:
+        return _COLOUR[word]
+    return next((word[: -len(e)] for e in ENDINGS if word.endswith(e) and len(word) > len(e) + 2), word)
+
+
 class _Cache(dict):
     """Results by raw text; emptied when it has grown large."""
 
@@ -107,11 +130,12 @@ def _key(raw: str) -> tuple[str | None, str | None]:
         return _FACT[text], None
     stem, _, unit = text.partition(",")
     fact = _FACT.get(stem.strip())
-    return (fact, unit.strip()) if fact in _MEASURES and unit.strip() in UNITS else (None, None)
+    return (fact, unit.strip()) if fact in _MEASURES and unit.strip() else (None, None)
 
 
 def _measure(number: str, unit: str) -> tuple[str, float]:
-    dim, factor = UNITS[unit]
+    """Dimension and amount in its base unit; a unit without a factor is a dimension of its own."""
+    dim, factor = UNITS.get(unit, (unit, 1))
     return dim, round(float(number.replace(",", ".")) * factor, 3)
 
 
@@ -119,90 +143,158 @@ def _deletions(word: str) -> set[str]:
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-class CardReader:
-    """Reads cards, given the corpus's words of kinds and materials."""
+def _shape(tokens: list[str]) -> str:
+    """Kinds and lengths of tokens, such as 'a3 d5'; empty where a number has a decimal sign."""
+    if any(not t.isalnum() for t in tokens):
+        return ""
+    return " ".join(f"{'d' if t[0].isdigit() else 'a'}{len(t)}" for t in tokens)
 
-    def __init__(self, lexicon: set[str]):
-        self.known = lexicon | FILLER | set(UNITS)
-        self.near = {d for w in self.known if len(w) > 4 for d in _deletions(w)}
+
+class AttributeReader:
+    """Reads attributes, and counts what they teach about names."""
+
+    def __init__(self):
         self.keys = _Cache(_key)
         self.latin = _Cache(latin)
         self.words = _Cache(lambda text: _TOKEN.findall(_plain(text)))
+        self.seen: Counter[tuple[str, str]] = Counter()
 
-    def _misspelt(self, word: str) -> bool:
-        return len(word) > 4 and (word in self.near or any(d in self.known or d in self.near for d in _deletions(word)))
-
-    def _code(self, tokens: list[str]) -> str:
+    def code(self, tokens: list[str]) -> str:
         return "".join(tokens).translate(_LOOKALIKE)
 
+    def _fields(self, attributes: str | None) -> list[tuple[str, object]]:
+        if not attributes:
+            return []
+        try:
+            parsed = json.loads(attributes)
+        except ValueError:
+            return [(k, v.strip('"')) for k, v in _FIELD.findall(attributes)]  # the whole fields of a cut-off object
+        return list(parsed.items()) if isinstance(parsed, dict) else []
+
     def read(self, name: str | None, attributes: str | None) -> tuple:
-        """(ident, code, colour, dim, amount, pack); what the card doesn't state is None, ident may be empty."""
+        """(name tokens, brand, line, code, colour, dim, amount, pack, kind words); what is not stated is None or empty."""
         brand = line = code = colour = dim = pack = amount = None
         kind: list[str] = []
+        seen = self.seen
         for raw, value in self._fields(attributes):
             fact, unit = self.keys[raw]
             if fact is None or value is None or isinstance(value, (dict, list, bool)):
                 continue
             text = value if isinstance(value, str) else str(value)
             tokens = self.words[text]
-            if not tokens:
+            if not tokens or _plain(text) in NO_VALUE:
                 continue
             if fact == "brand":
-                plain = _plain(text)
-                brand = brand if plain in NO_BRAND else "".join(self.latin[t] for t in tokens)
+                brand = "".join(self.latin[t] for t in tokens)
             elif fact == "line":
                 line = "".join(self.latin[t] for t in tokens)
             elif fact == "code":
-                code = self._code(tokens)
+                code = self.code(tokens)
+                seen["shape", _shape(tokens)] += 1
             elif fact == "colour":
-                colour = next((_COLOUR[t] for t in tokens if t in _COLOUR), " ".join(tokens))
+                colour = next((_COLOUR[t] for t in tokens if t in _COLOUR), None)
+                if colour is None:
+                    colour = " ".join(map(colour_word, tokens))
+                    if len(tokens) == 1:
+                        seen["colour", colour] += 1
             elif fact == "pack":
                 pack = int(tokens[0]) if tokens[0].isdigit() and len(tokens[0]) < 9 else pack
+                if len(tokens) == 2 and pack is not None and not tokens[1][0].isdigit():
+                    seen["pack", tokens[1]] += 1
             elif fact == "size":
                 dim, amount = next((("size", float(t.replace(",", "."))) for t in tokens if t[0].isdigit()), (dim, amount))
             elif fact in _MEASURES:
-                if unit is None and len(tokens) > 1 and tokens[0][0].isdigit() and tokens[1] in UNITS:
-                    dim, amount = _measure(tokens[0], tokens[1])
-                elif unit is not None and tokens[0][0].isdigit():
-                    dim, amount = _measure(tokens[0], tokens[1] if len(tokens) > 1 and tokens[1] in UNITS else unit)
+                if tokens[0][0].isdigit():
+                    own = tokens[1] if len(tokens) > 1 and not tokens[1][0].isdigit() else unit
+                    if own is not None:
+                        dim, amount = _measure(tokens[0], own)
+                        if own not in UNITS:
+                            seen["unit", own] += 1
             else:
                 kind += tokens
-        return self._name(name, brand, line, code, colour, dim, amount, pack, kind)
+                for t in set(tokens):
+                    if len(t) > 1:
+                        seen["kind", t] += 1
+        tokens = _TOKEN.findall(name.lower().replace("ё", "е")) if name else []
+        if brand and line:
+            seen["names", ""] += 1
+            for t in set(tokens):
+                if len(t) > 1 and not t[0].isdigit() and t not in kind and self.latin[t] not in (brand, line):
+                    seen["further", t] += 1
+        return tokens, brand, line, code, colour, dim, amount, pack, kind
+
+
+@dataclass
+class Lexicon:
+    """What the corpus teaches: words that name no article, colours, units and words for pieces, and shapes of codes."""
+
+    known: set[str] = field(default_factory=set)
+    colours: set[str] = field(default_factory=set)
+    units: set[str] = field(default_factory=set)
+    packs: set[str] = field(default_factory=set)
+    shapes: set[str] = field(default_factory=set)
+
+    def __post_init__(self):
+        self.units = self.units | set(UNITS)
+        self.packs = self.packs | {"шт", "штук", "штуки"}
+        self.known = self.known | FILLER | self.units | self.packs
+        self.near = {d for w in self.known if len(w) > 4 for d in _deletions(w)}
+        self.starts: dict[str, list[list[str]]] = {}
+        for shape in self.shapes:
+            parts = shape.split()
+            digits = sum(int(p[1:]) for p in parts if p[0] == "d")
+            if digits >= (3 if len(parts) > 1 else 5):
+                self.starts.setdefault(parts[0], []).append(parts)
+        for parts in self.starts.values():
+            parts.sort(key=len, reverse=True)
 
-    def _fields(self, attributes: str | None) -> list[tuple[str, object]]:
-        if not attributes:
-            return []
-        try:
-            parsed = json.loads(attributes)
-        except ValueError:
-            return [(k, v.strip('"')) for k, v in _FIELD.findall(attributes)]  # the whole fields of a cut-off object
-        return list(parsed.items()) if isinstance(parsed, dict) else []
 
-    def _name(self, name, brand, line, code, colour, dim, amount, pack, kind) -> tuple:
-        tokens = _TOKEN.findall(name.lower().replace("ё", "е")) if name else []
+class NameReader:
+    """Reads names, given the lexicon and what the attributes state."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.latin = _Cache(latin)
+        self.colour = _Cache(lambda w: _COLOUR.get(w) or (c if (c := colour_word(w)) in lexicon.colours else None))
+
+    def _misspelt(self, word: str) -> bool:
+        known, near = self.lexicon.known, self.lexicon.near
+        return len(word) > 4 and (word in near or any(d in known or d in near for d in _deletions(word)))
+
+    def _code_at(self, tokens: list[str], i: int) -> int:
+        """How many tokens from ``i`` on have the shape of a code; 0 for none."""
+        for parts in self.lexicon.starts.get(_shape(tokens[i : i + 1]), ()):
+            if _shape(tokens[i : i + len(parts)]).split() == parts:
+                return len(parts)
+        return 0
+
+    def read(self, tokens, brand, line, code, colour, dim, amount, pack, kind) -> tuple:
+        """(ident, code, colour, dim, amount, pack); what the card doesn't state is None, ident may be empty."""
         words: list[str] = []
-        known, i, n = self.known, 0, len(tokens)
+        known, units, packs = self.lexicon.known, self.lexicon.units, self.lexicon.packs
+        i, n = 0, len(tokens)
         while i < n:
             t = tokens[i]
             after = tokens[i + 1] if i + 1 < n else ""
-            if t[0].isdigit():
+            number = t[0].isdigit()
+            if length := (self._code_at(tokens, i) if number or (after and after[0].isdigit()) else 0):
+                if code is None:
+                    code = "".join(tokens[i : i + length]).translate(_LOOKALIKE)
+                i += length - 1
+            elif number:
                 before = tokens[i - 1] if i else ""
-                if after in UNITS:
+                if after in packs or before == "из" or before == "набор":
+                    if pack is None and t.isdigit() and len(t) < 9:
+                        pack = int(t)
+                elif after in units:
                     if dim is None:
                         dim, amount = _measure(t, after)
                     i += 1
-                elif after in ("шт", "штук", "штуки") or before == "из" or before == "набор":
-                    if pack is None and t.isdigit() and len(t) < 9:
-                        pack = int(t)
                 elif (after == "ru" or before in ("р", "размер")) and dim is None:
                     dim, amount = "size", float(t.replace(",", "."))
-            elif len(t) == 3 and len(after) == 5 and after.isdigit():
-                if code is None:
-                    code = self._code([t, after])
-                i += 1
-            elif t in _COLOUR:
+            elif self.colour[t]:
                 if colour is None:
-                    colour = _COLOUR[t]
+                    colour = self.colour[t]
             elif t not in known and t not in kind and len(t) > 1:
                 words.append(t)
             i += 1
@@ -221,41 +313,100 @@ class CardReader:
         return sorted(ident), code, colour, dim, amount, pack
 
 
-def kind_words(cards: DataFrame) -> set[str]:
-    """Words of the kinds and materials that the corpus's attributes name, the LEXICON_WORDS most frequent.
+def stated(cards: DataFrame, further: Callable | None = None, schema: str = "") -> DataFrame:
+    """One row (STATED) per row of ``cards`` (id, name, category, attributes), and rows (role, word, n) of what was counted.
+
+    ``further`` maps lists of names and attributes to Arrow arrays, added under the names and
+    kinds of ``schema``; columns of ``schema`` that the cards have are passed on.  The counts of a
+    partition follow its cards; their id is null.
+    """
+    passed = [f.name for f in _parse_datatype_string(schema) if f.name in cards.columns] if schema else []
+    whole = ", ".join(x for x in (STATED, schema, "role string, word string, n bigint") if x)
+    target = to_arrow_schema(_parse_datatype_string(whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = AttributeReader()
+
+        def batch_of(columns: dict, size: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in target], schema=target)
+
+        for batch in batches:
+            names, categories, texts = (batch.column(c).to_pylist() for c in ("name", "category", "attributes"))
+            rows = [reader.read(n, a) for n, a in zip(names, texts, strict=True)]
+            tokens, brand, line, code, colour, dim, amount, pack, kind = zip(*rows, strict=True) if rows else ([],) * 9
+            bare = [record_key(n, c, a).hex() if not r[3] and not (r[1] and r[2]) else None for r, n, c, a in zip(rows, names, categories, texts, strict=True)]
+            columns = dict(zip(_STATED, [batch.column("id"), [" ".join(t) for t in tokens], brand, line, code, colour, dim, amount, pack, [" ".join(k) for k in kind], bare], strict=True))
+            yield batch_of(columns | {c: batch.column(c) for c in passed} | (further(names, texts) if further else {}), len(rows))
+        counts = [(role, word, n) for (role, word), n in reader.seen.items()]
+        if counts:
+            role, word, n = zip(*counts, strict=True)
+            yield batch_of({"role": role, "word": word, "n": n}, len(counts))
+
+    return cards.select("id", "name", "category", "attributes", *passed).where("id is not null").mapInArrow(run, whole)
+
 
-    Only words used by two cards or more count.  Their number is that of the catalogue's
-    kinds, not of its cards; a word beyond the limit is merely taken for a possible brand.
+def learned(table: DataFrame) -> DataFrame:
+    """(role, word): what the counts of ``table`` (see stated) teach; roles are those of Lexicon.
+
+    A word of a kind, colour, unit or pack must be stated by SEEN cards, a code shape by
+    SHAPE_SHARE of the codes, and a further word by FURTHER_SHARE of the names counted.
     """
-    keys = "|".join(KEY_FACTS["kind"] + KEY_FACTS["stuff"])
-    values = F.regexp_extract_all(F.lower("attributes"), F.lit(rf'"\s*(?:{keys})\s*"\s*:\s*"([^"\\]*)"'), F.lit(1))
-    found = cards.select(F.explode(values).alias("v")).groupBy("v").count()
-    words = found.select(F.explode(F.split(F.translate("v", "ё", "е"), r"[^a-zа-я]+")).alias("w"), "count")
-    rows = words.where("length(w) > 1").groupBy("w").agg(F.sum("count").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(LEXICON_WORDS)
-    return {row.w for row in rows.collect()}
+    counts = table.where("role is not null").groupBy("role", "word").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "counts")
+    sums = {r.role: r.n for r in counts.where("role in ('shape', 'names')").groupBy("role").agg(F.sum("n").alias("n")).collect()}
+    least = F.when(F.col("role") == "shape", sums.get("shape", 0) * SHAPE_SHARE).when(F.col("role") == "further", sums.get("names", 0) * FURTHER_SHARE).otherwise(0)
+    role = F.when(F.col("role").isin("kind", "further"), "known").otherwise(F.concat("role", F.lit("s")))
+    return counts.where(F.col("role") != "names").where(F.col("n") >= F.greatest(least, F.lit(SEEN))).select(role.alias("role"), "word").distinct()
+
+
+def _lexicon(rows) -> Lexicon:
+    parts: dict[str, set[str]] = {}
+    for role, word in rows:
+        parts.setdefault(role, set()).add(word)
+    return Lexicon(**parts)
+
 
+def _with_hints(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with ``hints``: the known words, as text, that a card's name has or nearly has (one letter more, less or other)."""
+    word = F.col("word")
+    drops = lambda w: F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+    forms = words.select("word", F.explode(drops(word)).alias("form"))
+    used = rows.select("id", "name", "brand", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).where("word <> ''").select("id", "name", F.explode(drops(word)).alias("form"))
+    found = used.join(forms, "form").groupBy(F.col("id").alias("_id"), F.col("name").alias("_name")).agg(F.array_join(F.collect_set("word"), " ").alias("hints"))
+    return rows.join(found, (rows.id == F.col("_id")) & (rows.name == F.col("_name")), "left").drop("_id", "_name")
 
-def read_cards(cards: DataFrame, lexicon: set[str] | None = None) -> DataFrame:
-    """One thin row (CARD_SCHEMA) per row of ``cards`` (id, name, category, attributes).
+
+def read_cards(cards: DataFrame, further: Callable | None = None, schema: str = "", sent: int = SENT_WORDS) -> DataFrame:
+    """One thin row (CARD, and the columns of ``schema``) per row of ``cards`` (id, name, category, attributes) with an id.
 
     ``bare`` is a digest of the whole record, for cards that state neither two identity
-    words nor a code.  Null or broken columns read as nothing stated.
+    words nor a code; ``fact`` a digest of all facts.  Null or broken columns read as nothing
+    stated.  ``further`` is as in ``stated``.  Known words beyond ``sent`` are joined to the
+    cards by their spelling, not sent, with the same result.
     """
-    words = kind_words(cards) if lexicon is None else lexicon
+    table = cut(stated(cards, further, schema), "stated")
+    words = cut(learned(table), "lexicon")
+    rows = table.where("id is not null").drop("role", "word", "n")
+    few = words.where("role = 'known'").count() <= sent
+    kept = words if few else words.where("role <> 'known'")
+    lexicon = _lexicon((r.role, r.word) for r in kept.collect())  # colours, units and shapes are few by nature
+    rows = rows.withColumn("hints", F.lit(None).cast("string")) if few else _with_hints(rows, words.where("role = 'known'"))
+    own = [f.name for f in _parse_datatype_string(schema)] if schema else []
+    whole = ", ".join(x for x in (CARD, schema) if x)
+    target = to_arrow_schema(_parse_datatype_string(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = CardReader(words)
+        reader = NameReader(lexicon)
         for batch in batches:
-            names, categories, texts = (batch.column(c).to_pylist() for c in ("name", "category", "attributes"))
-            rows = [reader.read(n, a) for n, a in zip(names, texts, strict=True)]
-            bare = [record_key(n, c, a).hex() if not r[1] and len(r[0]) < 2 else None for r, n, c, a in zip(rows, names, categories, texts, strict=True)]
-            ident, code, colour, dim, amount, pack = zip(*rows, strict=True) if rows else ([],) * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array(ident, pa.list_(pa.string())), pa.array(code, pa.string()), pa.array(bare, pa.string()),
-                    pa.array(colour, pa.string()), pa.array(dim, pa.string()), pa.array(amount, pa.float64()), pa.array(pack, pa.int32()),
-                ],
-                ["id", "ident", "code", "bare", "colour", "dim", "amount", "pack"],
-            )
-
-    return cards.select("id", "name", "category", "attributes").where("id is not null").mapInArrow(run, CARD_SCHEMA)
+            columns = [batch.column(c).to_pylist() for c in (*_STATED[1:10], "bare", "hints")]
+            rows = []
+            for name, brand, line, code, colour, dim, amount, pack, kind, bare, hints in zip(*columns, strict=True):
+                if hints is not None:
+                    reader.lexicon = Lexicon(lexicon.known | set(hints.split()), lexicon.colours, lexicon.units, lexicon.packs, lexicon.shapes)
+                found = reader.read(name.split(), brand, line, code, colour, dim, amount, pack, kind.split())
+                bare = bare if not found[1] and len(found[0]) < 2 else None
+                rows.append((found[0], found[1], bare, *found[2:], blake2b(repr((found, bare)).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 8, list(target)[1:9], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, *(batch.column(c) for c in own)], schema=target)
+
+    return rows.mapInArrow(run, whole)

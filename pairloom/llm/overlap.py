@@ -1,24 +1,25 @@
 """Problem 6: the same or nearly the same records across splits.
 
 Every record is normalised (words of the name in sorted order, attributes as key=value) and
-cut into content-defined chunks: a rolling hash over the words decides where a chunk ends,
-so an inserted, dropped or moved word changes only the chunks around it.  Chunk digests are
-joined across the splits, shared chunk lengths are summed into overlap fractions of either
-record, and candidate pairs pass an exact check of the facts that both state.
+cut into content-defined chunks: a rolling hash over the last WINDOW characters decides where
+a chunk ends, so a changed, inserted or dropped word changes only the chunks around it.
+Brand, line and article code, as read from the card, are chunks too.  Chunk digests
+are joined across the splits by the rarest ones of every record, shared chunk lengths are summed
+into overlap fractions of either record, and candidate pairs pass an exact check of the facts
+that both state.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.cards import _TOKEN, CardReader, kind_words
+from pairloom.llm.cards import _TOKEN, read_cards
 from pairloom.llm.notation import fold
 from pairloom.workspace import cut
 
@@ -26,44 +27,57 @@ from pairloom.workspace import cut
 NEAR = 0.6
 #: The same with the article code, or brand and line, in common.
 NEAR_NAMED = 0.3
-#: Pairs of identity words are formed of cards with at most so many; cards with more are joined on single words.
-MOST_WORDS = 12
-#: A chunk ends at a word whose hash has these bits zero: one word in two.
-CUT_MASK = 1
-#: Up to this many ids are broadcast to filter cards; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Characters that the rolling hash looks at, and its average number of characters between cuts.
+WINDOW, AVERAGE = 5, 10
+#: Weight of an article code and of a brand or line among the names; cards named alike share names of ALIKE.
+CODE_WEIGHT, WORD_WEIGHT, ALIKE = 2, 1, 2
 
-CHUNK_SCHEMA = "id bigint, chunks array<bigint>, sizes array<int>, names array<bigint>, ident array<string>, code string, colour string, dim string, amount double, pack int"
+_BASE = np.uint32(0x9E3779B1)
+CHUNK_SCHEMA = "side int, chunks array<bigint>, sizes array<int>"
 
 
 def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def chunks(words: list[str]) -> Iterator[str]:
-    """Content-defined chunks of a sequence of words."""
-    current: list[str] = []
-    for word in words:
-        current.append(word)
-        if not xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & CUT_MASK:
-            yield " ".join(current)
-            current = []
-    if current:
-        yield " ".join(current)
+def chunks(fields: list[str]) -> list[list[str]]:
+    """Content-defined chunks of each of ``fields``.
 
-
-def record_chunks(name: str | None, attributes: str | None) -> dict[int, int]:
-    """Length by digest of a record's chunks; repeated words and fields count once.
-
-    Attributes that are no JSON object are cut as a text.  Long values are cut like a text too.
+    A chunk ends with its field and wherever the rolling hash of the last WINDOW characters of the
+    field has the remainder 0; the hashes of all fields are rolled along one array.
     """
-    found: dict[int, int] = {}
-
-    def add(tag: str, texts: Iterator[str]) -> None:
-        for text in texts:
-            found[_digest(tag + text)] = len(text)
-
-    add("n ", chunks(sorted(set(_TOKEN.findall((name or "").lower().replace("ё", "е"))))))
+    sizes = np.fromiter(map(len, fields), np.int64, len(fields))
+    codes = np.frombuffer("".join(fields).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return [[] for _ in fields]
+    rolled = np.zeros(len(codes), np.uint32)
+    for k in range(WINDOW):  # the polynomial of the window, one character at a time
+        rolled *= _BASE
+        rolled[WINDOW - 1 :] += codes[k : len(codes) - WINDOW + 1 + k]
+    rolled ^= rolled >> np.uint32(15)
+    ends = np.cumsum(sizes)
+    inside = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    cuts = np.flatnonzero((rolled % np.uint32(AVERAGE) == 0) & (inside >= WINDOW - 1)) + 1
+    out, at = [], 0
+    for text, end, size in zip(fields, ends.tolist(), sizes.tolist(), strict=True):
+        begin, last, parts = end - size, 0, []
+        while at < len(cuts) and cuts[at] <= end:
+            place = int(cuts[at]) - begin
+            parts.append(text[last:place])
+            last = place
+            at += 1
+        if last < size:
+            parts.append(text[last:])
+        out.append(parts)
+    return out
+
+
+def record_fields(name: str | None, attributes: str | None) -> list[str]:
+    """The normalised record: the words of the name in order, and every attribute as key=value.
+
+    Attributes that are no JSON object are words of a text.  Repeated words and fields count once.
+    """
+    fields = [" ".join(sorted(set(_TOKEN.findall((name or "").lower().replace("ё", "е")))))]
     try:
         parsed = json.loads(attributes) if attributes else {}
     except ValueError:
@@ -71,35 +85,36 @@ def record_chunks(name: str | None, attributes: str | None) -> dict[int, int]:
     if isinstance(parsed, dict):
         for key, value in parsed.items():
             text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
-            if len(text) > 80:
-                add(f"{fold(key)}=", chunks(_TOKEN.findall(text.lower())))
-            else:
-                add("", iter([f"{fold(key)}={fold(text)}".replace("ё", "е")]))
+            fields.append(f"{fold(key)}={fold(text)}".replace("ё", "е"))
     elif isinstance(parsed, str):
-        add("t ", chunks(_TOKEN.findall(parsed.lower().replace("ё", "е"))))
-    return found
+        fields.append(" ".join(_TOKEN.findall(parsed.lower().replace("ё", "е"))))
+    return list(dict.fromkeys(f for f in fields if f))
 
 
-def chunked(cards: DataFrame, lexicon: set[str]) -> DataFrame:
-    """CHUNK_SCHEMA: chunks with their lengths, and the facts, of every card (id, name, attributes)."""
+def _record_chunks(names: list, texts: list) -> dict[str, pa.Array]:
+    """Columns of CHUNK_SCHEMA: digests and lengths of the distinct chunks of every record."""
+    records = [record_fields(n, a) for n, a in zip(names, texts, strict=True)]
+    parts = iter(chunks([f for fields in records for f in fields]))
+    digests, sizes = [], []
+    for fields in records:
+        found = {_digest(c): len(c) for _ in fields for c in next(parts)}
+        digests.append(list(found))
+        sizes.append(list(found.values()))
+    return {"chunks": pa.array(digests, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.list_(pa.int32()))}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = CardReader(lexicon)
-        for batch in batches:
-            texts = list(zip(batch.column("name").to_pylist(), batch.column("attributes").to_pylist(), strict=True))
-            facts = [reader.read(n, a) for n, a in texts]
-            cut_up = [record_chunks(n, a) | {_digest(f"w {x}"): len(x) for x in [*f[0], f[1]] if x} for (n, a), f in zip(texts, facts, strict=True)]
-            names = [[*([_digest(f"c {f[1]}")] if f[1] else []), *(_digest(f"p {a} {b}") for a, b in (combinations(f[0], 2) if len(f[0]) <= MOST_WORDS else ()))] for f in facts]
-            ident, code, colour, dim, amount, pack = zip(*facts, strict=True) if facts else ([],) * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array([list(c) for c in cut_up], pa.list_(pa.int64())), pa.array([list(c.values()) for c in cut_up], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.int64())),
-                    pa.array(ident, pa.list_(pa.string())), pa.array(code, pa.string()), pa.array(colour, pa.string()), pa.array(dim, pa.string()), pa.array(amount, pa.float64()), pa.array(pack, pa.int32()),
-                ],
-                ["id", "chunks", "sizes", "names", "ident", "code", "colour", "dim", "amount", "pack"],
-            )
 
-    return cards.select("id", "name", "attributes").mapInArrow(run, CHUNK_SCHEMA)
+def chunked(cards: DataFrame) -> DataFrame:
+    """``cards`` (side, id, name, attributes) as rows of chunks with their lengths, names and facts.
+
+    ``names`` are the digests of brand and line words and of the code, odd for the code; they are chunks as well.
+    """
+    known = read_cards(cards.withColumn("category", F.lit(None).cast("string")), _record_chunks, CHUNK_SCHEMA)
+    even = lambda x: F.shiftleft(F.xxhash64(x), 1)
+    names = F.concat(F.transform("ident", even), F.transform(F.array_compact(F.array(F.concat(F.lit("c"), F.col("code")))), lambda x: even(x) + 1))
+    size = lambda t: F.transform(t, lambda x: F.length(x))
+    return known.select(
+        "side", "id", F.concat("chunks", names).alias("chunks"), F.concat("sizes", size("ident"), size(F.array_compact(F.array("code")))).alias("sizes"), names.alias("names"), "ident", _facts().alias("facts"),
+    )
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
@@ -109,10 +124,9 @@ def pair_ids(pairs: DataFrame) -> DataFrame:
 
 def cards_of(ids: DataFrame, *sources: DataFrame) -> DataFrame:
     """(id, name, attributes): one card for each of ``ids``, from the first of ``sources`` that has it."""
-    small = ids.count() <= BROADCAST_IDS
     found = None
     for rank, source in enumerate(sources):
-        part = source.select("id", "name", "attributes").join(F.broadcast(ids) if small else ids, "id", "left_semi").withColumn("rank", F.lit(rank))
+        part = source.select("id", "name", "attributes").join(ids, "id", "left_semi").withColumn("rank", F.lit(rank))
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("id").agg(F.min(F.struct("rank", "name", "attributes")).alias("c"))
     return best.select("id", "c.name", "c.attributes")
@@ -130,34 +144,25 @@ def _calm(a: str, b: str) -> Column:
     return ~(clash("code") | clash("colour") | clash("pack") | (clash("amount") & ~clash("dim")))
 
 
-def _prefixes(side: DataFrame, rarity: DataFrame) -> DataFrame:
-    """One row per record and chunk of its prefix: the rarest chunks, up to more than 1 - NEAR of its length.
+def _heavy(names: Column) -> Column:
+    return F.aggregate(names, F.lit(0), lambda s, t: s + F.when(t % 2 != 0, CODE_WEIGHT).otherwise(WORD_WEIGHT))
 
-    Two records that share NEAR of the length of both share a chunk of both prefixes.
-    """
-    each = side.select("id", F.explode(F.arrays_zip("chunks", "sizes")).alias("z")).select("id", F.col("z.chunks").alias("chunk"), F.col("z.sizes").alias("size"))
-    ranked = each.join(rarity, "chunk").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "chunk", "size"))).alias("r"), F.sum("size").alias("total"))
-    ranked = ranked.join(side.select("id", _facts().alias("facts")), "id")
-    before = F.transform("r", lambda x, i: F.struct(x.chunk.alias("chunk"), F.aggregate(F.slice("r", 1, i), F.lit(0), lambda s, y: s + y.size).alias("before")))
-    prefix = ranked.select("id", "total", "facts", F.explode(before).alias("p")).where(F.col("p.before") <= (1 - NEAR) * F.col("total"))
-    return prefix.select("id", "total", "facts", F.col("p.chunk").alias("chunk"))
 
+def _prefixes(side: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(id, total, facts, chunk, named): the chunks by which a record can be met, rarest first.
 
-def _long_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id1, id2): cards that share two identity words and of which one has more than MOST_WORDS, without a clash of facts.
-
-    Two sets with two words in common share one of all but the most frequent word of either.
+    Two records that share NEAR of the length of both share a chunk among the rarest up to more
+    than 1 - NEAR of the length of either (``named`` false); two that share names of ALIKE share
+    one among the rarest names up to all but less than ALIKE (``named`` true).
     """
-    word = lambda side: side.select("id", _facts().alias("facts"), "ident", (F.size("ident") > MOST_WORDS).alias("long"), F.explode("ident").alias("word"))
-    words = [word(side) for side in (left, right)]
-    df = cut(words[0].unionByName(words[1]).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.max("long").alias("used")).where("used").drop("used"), "words")
-    met = []
-    for n, each in zip((1, 2), words, strict=True):
-        last = each.join(df, "word").groupBy("id").agg(F.max(F.struct("df", "word")).alias("last"), F.count(F.lit(1)).alias("n"))
-        kept = each.join(df.select("word"), "word", "left_semi").join(last, "id").where("n > 1 and word <> last.word")
-        met.append(kept.select(F.col("id").alias(f"id{n}"), F.col("facts").alias(f"f{n}"), F.col("ident").alias(f"ident{n}"), F.col("long").alias(f"long{n}"), "word"))
-    both = met[0].join(met[1], "word").where((F.col("long1") | F.col("long2")) & _calm("f1", "f2"))
-    return both.where(F.size(F.array_intersect("ident1", "ident2")) > 1).select("id1", "id2")
+    each = side.select("id", F.explode(F.arrays_zip("chunks", "sizes")).alias("z"), "names").select("id", F.col("z.chunks").alias("chunk"), F.col("z.sizes").alias("size"), F.array_contains("names", F.col("z.chunks")).alias("name"))
+    ranked = each.join(rarity, "chunk", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "chunk", "size", "name"))).alias("r"), F.sum("size").alias("total"))
+    ranked = ranked.join(side.select("id", "facts"), "id")
+    names = F.transform(F.filter("r", lambda x: x["name"]), lambda x: x.chunk)
+    before = F.transform("r", lambda x, i: F.struct(x.df.alias("df"), x.chunk.alias("chunk"), F.aggregate(F.slice("r", 1, i), F.lit(0), lambda s, y: s + y["size"]).alias("before")))
+    rare = ranked.select("id", "total", "facts", F.explode(before).alias("p")).where("p.df > 1").where(F.col("p.before") <= (1 - NEAR) * F.col("total"))
+    named = ranked.withColumn("n", names).select("id", "total", "facts", "n", F.posexplode("n").alias("pos", "chunk")).where(_heavy(F.slice("n", F.col("pos") + 1, F.size("n"))) >= ALIKE)
+    return rare.select("id", "total", "facts", F.col("p.chunk").alias("chunk"), F.lit(False).alias("named")).unionByName(named.select("id", "total", "facts", "chunk", F.lit(True).alias("named")))
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
@@ -169,31 +174,26 @@ def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     need NEAR_NAMED in common, else NEAR.  Nulls state nothing; a card without any
     chunk pairs with none.  Equal ids are left to the caller.
     """
-    cards = cut(evaluation.withColumn("side", F.lit(1)).unionByName(training.withColumn("side", F.lit(2))), "texts")
-    lexicon = kind_words(cards)
-    left, right = (cut(chunked(cards.where(F.col("side") == s), lexicon).where(F.size("chunks") > 0), "chunks") for s in (1, 2))
+    # one reading of both sides: what either teaches about words holds for both
+    sided = lambda df, s: df.select(F.lit(s).alias("side"), "id", "name", "attributes")
+    both = cut(chunked(sided(evaluation, 1).unionByName(sided(training, 2))).where(F.size("chunks") > 0), "chunks")
+    left, right = both.where("side = 1"), both.where("side = 2")
     # only chunks that both sides have can be shared; their rarity is counted over both
-    df = lambda side: side.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-    both = df(left).unionByName(df(right)).groupBy("chunk").agg(F.sum("n").alias("df"))
-    rarity = cut(both, "rarity")
-    p1 = _prefixes(left, rarity).select(F.col("id").alias("id1"), F.col("total").alias("total1"), F.col("facts").alias("f1"), "chunk")
-    p2 = _prefixes(right, rarity).select(F.col("id").alias("id2"), F.col("total").alias("total2"), F.col("facts").alias("f2"), "chunk")
-    fits = F.least("total1", "total2") >= NEAR_NAMED * F.greatest("total1", "total2")
-    named = [side.select(F.col("id").alias(f"id{n}"), _facts().alias(f"f{n}"), F.explode("names").alias("name")) for n, side in ((1, left), (2, right))]
-    calm = _calm("f1", "f2")
-    met = p1.join(p2, "chunk").where(fits & calm).select("id1", "id2").unionByName(named[0].join(named[1], "name").where(calm).select("id1", "id2")).unionByName(_long_names(left, right))
-    candidates = met.where("id1 <> id2").distinct()
-    one = lambda side, n: side.select(*[F.col(c).alias(f"{c}{n}") for c in ("id", "chunks", "sizes", "ident", "code")])
+    seen = both.select("side", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    rarity = cut(seen.where("lo < hi").select("chunk", "df"), "rarity")
+    p1, p2 = (_prefixes(x, rarity).select(F.col("id").alias(f"id{n}"), F.col("total").alias(f"total{n}"), F.col("facts").alias(f"f{n}"), "chunk", "named") for n, x in ((1, left), (2, right)))
+    fits = F.least("total1", "total2") >= F.when(F.col("named"), NEAR_NAMED).otherwise(NEAR) * F.greatest("total1", "total2")
+    candidates = p1.join(p2, ["chunk", "named"]).where(fits & _calm("f1", "f2") & (F.col("id1") != F.col("id2"))).select("id1", "id2").distinct()
+    one = lambda x, n: x.select(*[F.col(c).alias(f"{c}{n}") for c in ("id", "chunks", "sizes", "names", "ident")])
     pairs = candidates.join(one(left, 1), "id1").join(one(right, 2), "id2")
     total = lambda n: F.aggregate(f"sizes{n}", F.lit(0), lambda s, x: s + x)
     common = F.aggregate(F.filter(F.arrays_zip("chunks1", "sizes1"), lambda z: F.array_contains("chunks2", z.chunks1)), F.lit(0), lambda s, z: s + z.sizes1)
     scored = pairs.withColumn("common", common).withColumn("share1", F.col("common") / total(1)).withColumn("share2", F.col("common") / total(2))
     near_word = lambda w, ws: F.exists(ws, lambda v: F.levenshtein(v, w) <= F.when(F.length(w) > 3, 2).otherwise(0))
     kin = F.exists("ident1", lambda w: near_word(w, F.col("ident2")))
-    same_code = F.coalesce(F.col("code1") == F.col("code2"), F.lit(False))
     bare = (F.size("ident1") == 0) | (F.size("ident2") == 0)
     low = F.least("share1", "share2")
-    alike = same_code | (F.size(F.array_intersect("ident1", "ident2")) > 1)
+    alike = _heavy(F.array_intersect("names1", "names2")) >= ALIKE
     near = ((low >= NEAR) & (kin | bare)) | (alike & (low >= NEAR_NAMED))
     return scored.where(near).select("id1", "id2", "share1", "share2")
 
