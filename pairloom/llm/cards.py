@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from pairloom.llm.notation import record_key
+from pairloom.llm.notation import fold
 from pairloom.workspace import cut
 
 # Attribute names by the fact they state.
@@ -79,6 +79,7 @@ _FACT = {key: fact for fact, keys in KEY_FACTS.items() for key in keys}
 _COLOUR = {stem + end: word for stem, word in COLOURS.items() for end in ENDINGS} | {word: word for word in COLOURS.values()} | {"gray": "grey"}
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)?|[a-zа-я]+")
 _FIELD = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?)(?=\s*[,}])')
+DIGIT, LETTER = r"\d", "[a-zа-я]"
 _MEASURES = ("length", "volume", "mass", "power")
 
 #: What the attributes of fewer cards state is not taken for a word of its kind.
@@ -156,8 +157,9 @@ class AttributeReader:
     def __init__(self):
         self.keys = _Cache(_key)
         self.latin = _Cache(latin)
-        self.words = _Cache(lambda text: _TOKEN.findall(_plain(text)))
-        self.seen: Counter[tuple[str, str]] = Counter()
+        self.words = _Cache(lambda text: [] if (plain := _plain(text)) in NO_VALUE else _TOKEN.findall(plain))
+        self.folded = _Cache(fold)
+        self.seen: dict[str, Counter[str]] = {role: Counter() for role in ("shape", "colour", "pack", "unit", "kind", "further", "names")}
 
     def code(self, tokens: list[str]) -> str:
         return "".join(tokens).translate(_LOOKALIKE)
@@ -171,36 +173,43 @@ class AttributeReader:
             return [(k, v.strip('"')) for k, v in _FIELD.findall(attributes)]  # the whole fields of a cut-off object
         return list(parsed.items()) if isinstance(parsed, dict) else []
 
+    def bare(self, name: str | None, category: str | None, attributes: str | None) -> str:
+        """Digest of a whole card that is equal for cards that differ in notation only."""
+        folded = self.folded
+        fields = {f"{folded[k]}\x01{folded[v if isinstance(v, str) else str(v)]}" for k, v in self._fields(attributes)}
+        text = "\x03".join(sorted(fields)) if fields else "\x04" + fold(attributes or "")
+        return blake2b(f"{fold(name or '')}\x00{folded[category or '']}\x00{text}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
     def read(self, name: str | None, attributes: str | None) -> tuple:
         """(name tokens, brand, line, code, colour, dim, amount, pack, kind words); what is not stated is None or empty."""
         brand = line = code = colour = dim = pack = amount = None
         kind: list[str] = []
-        seen = self.seen
+        seen, words, spelt = self.seen, self.words, self.latin
         for raw, value in self._fields(attributes):
             fact, unit = self.keys[raw]
             if fact is None or value is None or isinstance(value, (dict, list, bool)):
                 continue
             text = value if isinstance(value, str) else str(value)
-            tokens = self.words[text]
-            if not tokens or _plain(text) in NO_VALUE:
+            tokens = words[text]
+            if not tokens:
                 continue
             if fact == "brand":
-                brand = "".join(self.latin[t] for t in tokens)
+                brand = "".join([spelt[t] for t in tokens])
             elif fact == "line":
-                line = "".join(self.latin[t] for t in tokens)
+                line = "".join([spelt[t] for t in tokens])
             elif fact == "code":
                 code = self.code(tokens)
-                seen["shape", _shape(tokens)] += 1
+                seen["shape"][_shape(tokens)] += 1
             elif fact == "colour":
                 colour = next((_COLOUR[t] for t in tokens if t in _COLOUR), None)
                 if colour is None:
                     colour = " ".join(map(colour_word, tokens))
                     if len(tokens) == 1:
-                        seen["colour", colour] += 1
+                        seen["colour"][colour] += 1
             elif fact == "pack":
                 pack = int(tokens[0]) if tokens[0].isdigit() and len(tokens[0]) < 9 else pack
                 if len(tokens) == 2 and pack is not None and not tokens[1][0].isdigit():
-                    seen["pack", tokens[1]] += 1
+                    seen["pack"][tokens[1]] += 1
             elif fact == "size":
                 dim, amount = next((("size", float(t.replace(",", "."))) for t in tokens if t[0].isdigit()), (dim, amount))
             elif fact in _MEASURES:
@@ -209,18 +218,14 @@ class AttributeReader:
                     if own is not None:
                         dim, amount = _measure(tokens[0], own)
                         if own not in UNITS:
-                            seen["unit", own] += 1
+                            seen["unit"][own] += 1
             else:
                 kind += tokens
-                for t in set(tokens):
-                    if len(t) > 1:
-                        seen["kind", t] += 1
+                seen["kind"].update({t for t in tokens if len(t) > 1})
         tokens = _TOKEN.findall(name.lower().replace("ё", "е")) if name else []
         if brand and line:
-            seen["names", ""] += 1
-            for t in set(tokens):
-                if len(t) > 1 and not t[0].isdigit() and t not in kind and self.latin[t] not in (brand, line):
-                    seen["further", t] += 1
+            seen["names"][""] += 1
+            seen["further"].update({t for t in tokens if len(t) > 1 and not t[0].isdigit() and t not in kind and spelt[t] not in (brand, line)})
         return tokens, brand, line, code, colour, dim, amount, pack, kind
 
 
@@ -239,14 +244,10 @@ class Lexicon:
         self.packs = self.packs | {"шт", "штук", "штуки"}
         self.known = self.known | FILLER | self.units | self.packs
         self.near = {d for w in self.known if len(w) > 4 for d in _deletions(w)}
-        self.starts: dict[str, list[list[str]]] = {}
-        for shape in self.shapes:
-            parts = shape.split()
-            digits = sum(int(p[1:]) for p in parts if p[0] == "d")
-            if digits >= (3 if len(parts) > 1 else 5):
-                self.starts.setdefault(parts[0], []).append(parts)
-        for parts in self.starts.values():
-            parts.sort(key=len, reverse=True)
+        parts = [shape.split() for shape in self.shapes if shape]
+        long = [p for p in parts if sum(int(x[1:]) for x in p if x[0] == "d") >= (3 if len(p) > 1 else 5)]
+        each = [" ".join(f"{DIGIT if x[0] == 'd' else LETTER}{{{x[1:]}}}" for x in p) for p in sorted(long, key=len, reverse=True)]
+        self.code = re.compile(rf"(?<!\S)(?:{'|'.join(each)})(?!\S)") if each else None
 
 
 class NameReader:
@@ -261,28 +262,24 @@ class NameReader:
         known, near = self.lexicon.known, self.lexicon.near
         return len(word) > 4 and (word in near or any(d in known or d in near for d in _deletions(word)))
 
-    def _code_at(self, tokens: list[str], i: int) -> int:
-        """How many tokens from ``i`` on have the shape of a code; 0 for none."""
-        for parts in self.lexicon.starts.get(_shape(tokens[i : i + 1]), ()):
-            if _shape(tokens[i : i + len(parts)]).split() == parts:
-                return len(parts)
-        return 0
-
-    def read(self, tokens, brand, line, code, colour, dim, amount, pack, kind) -> tuple:
-        """(ident, code, colour, dim, amount, pack); what the card doesn't state is None, ident may be empty."""
-        words: list[str] = []
-        known, units, packs = self.lexicon.known, self.lexicon.units, self.lexicon.packs
+    def read(self, name, brand, line, code, colour, dim, amount, pack, kind) -> tuple:
+        """(ident, code, colour, dim, amount, pack); what the card doesn't state is None, ident may be empty.
+
+        ``name`` and ``kind`` are tokens with blanks between.
+        """
+        lexicon = self.lexicon
+        known, units, packs, colours = lexicon.known, lexicon.units, lexicon.packs, self.colour
+        if lexicon.code is not None and (met := lexicon.code.search(name)):
+            if code is None:
+                code = met.group().replace(" ", "").translate(_LOOKALIKE)
+            name = lexicon.code.sub("", name)
+        tokens, kinds, words = name.split(), kind.split(), []
+        named = not (brand and line)
         i, n = 0, len(tokens)
         while i < n:
             t = tokens[i]
-            after = tokens[i + 1] if i + 1 < n else ""
-            number = t[0].isdigit()
-            if length := (self._code_at(tokens, i) if number or (after and after[0].isdigit()) else 0):
-                if code is None:
-                    code = "".join(tokens[i : i + length]).translate(_LOOKALIKE)
-                i += length - 1
-            elif number:
-                before = tokens[i - 1] if i else ""
+            if t[0].isdigit():
+                before, after = tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < n else ""
                 if after in packs or before == "из" or before == "набор":
                     if pack is None and t.isdigit() and len(t) < 9:
                         pack = int(t)
@@ -292,10 +289,10 @@ class NameReader:
                     i += 1
                 elif (after == "ru" or before in ("р", "размер")) and dim is None:
                     dim, amount = "size", float(t.replace(",", "."))
-            elif self.colour[t]:
+            elif colours[t]:
                 if colour is None:
-                    colour = self.colour[t]
-            elif t not in known and t not in kind and len(t) > 1:
+                    colour = colours[t]
+            elif named and t not in known and len(t) > 1 and t not in kinds:
                 words.append(t)
             i += 1
         if brand and line:
@@ -334,10 +331,10 @@ def stated(cards: DataFrame, further: Callable | None = None, schema: str = "")
             names, categories, texts = (batch.column(c).to_pylist() for c in ("name", "category", "attributes"))
             rows = [reader.read(n, a) for n, a in zip(names, texts, strict=True)]
             tokens, brand, line, code, colour, dim, amount, pack, kind = zip(*rows, strict=True) if rows else ([],) * 9
-            bare = [record_key(n, c, a).hex() if not r[3] and not (r[1] and r[2]) else None for r, n, c, a in zip(rows, names, categories, texts, strict=True)]
+            bare = [reader.bare(n, c, a) if not r[3] and not (r[1] and r[2]) else None for r, n, c, a in zip(rows, names, categories, texts, strict=True)]
             columns = dict(zip(_STATED, [batch.column("id"), [" ".join(t) for t in tokens], brand, line, code, colour, dim, amount, pack, [" ".join(k) for k in kind], bare], strict=True))
             yield batch_of(columns | {c: batch.column(c) for c in passed} | (further(names, texts) if further else {}), len(rows))
-        counts = [(role, word, n) for (role, word), n in reader.seen.items()]
+        counts = [(role, word, n) for role, words in reader.seen.items() for word, n in words.items()]
         if counts:
             role, word, n = zip(*counts, strict=True)
             yield batch_of({"role": role, "word": word, "n": n}, len(counts))
@@ -403,7 +400,7 @@ def read_cards(cards: DataFrame, further: Callable | None = None, schema: str =
             for name, brand, line, code, colour, dim, amount, pack, kind, bare, hints in zip(*columns, strict=True):
                 if hints is not None:
                     reader.lexicon = Lexicon(lexicon.known | set(hints.split()), lexicon.colours, lexicon.units, lexicon.packs, lexicon.shapes)
-                found = reader.read(name.split(), brand, line, code, colour, dim, amount, pack, kind.split())
+                found = reader.read(name, brand, line, code, colour, dim, amount, pack, kind)
                 bare = bare if not found[1] and len(found[0]) < 2 else None
                 rows.append((found[0], found[1], bare, *found[2:], blake2b(repr((found, bare)).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
             arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 8, list(target)[1:9], strict=True)]
