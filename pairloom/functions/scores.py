@@ -28,6 +28,31 @@ def order_gap(ab: Column, ba: Column, slope: float, intercept: float) -> Column:
     return F.abs(platt(ab, slope, intercept) - platt(ba, slope, intercept))
 
 
+def order_gap_of(present: list[str], slope: float, intercept: float, missing_allowed: bool = False) -> Column:
+    """The order gap from what a score table has: logits of both orders, else the stored gap of its logits around their mean.
+
+    NaN, infinite or negative values raise; without either source it raises, or with
+    ``missing_allowed`` is null.
+    """
+    wrong = lambda what: F.raise_error(F.lit(what)).cast("double")
+    if {"logit_ab", "logit_ba"} <= set(present):
+        ab, ba = F.col("logit_ab"), F.col("logit_ba")
+        sound = finite(ab).isNotNull() & finite(ba).isNotNull()
+        return F.when(sound, order_gap(ab, ba, slope, intercept)).otherwise(wrong("an order's logit is not finite"))
+    if {"logit", "order_gap"} <= set(present):
+        half = F.col("order_gap") / 2
+        gap = order_gap(F.col("logit") + half, F.col("logit") - half, slope, intercept)
+        return F.when(finite(half).isNotNull() & (half >= 0), gap).otherwise(wrong("a stored order gap is not finite or negative"))
+    if missing_allowed:
+        return F.lit(None).cast("double")
+    raise ValueError("neither logits of both orders nor their gap")
+
+
+def number(text: Column) -> Column:
+    """The text as a double; what is no number is null."""
+    return text.try_cast("double")
+
+
 def votes(target: Column) -> Column:
     """The nearest ninth, half to even."""
     return F.rint(target * 9).cast("int")

@@ -99,6 +99,11 @@ def prompt_card(name: Column, entries: Column, max_attributes: int = 28, value_c
     return F.concat(F.lit(PROMPT_NAME), F.substring(F.coalesce(name, F.lit("None")), 1, name_cap), F.lit("\n" + PROMPT_ATTRIBUTES), block)
 
 
+def text_category(text: Column) -> Column:
+    """The category that leads a card text; null for a null text."""
+    return F.substring_index(text, " | ", 1)
+
+
 def name_tokens(name: Column) -> Column:
     """Distinct lower-case runs of Latin and Cyrillic letters and digits; none for null."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-zа-яё0-9]+"), F.lit(0)))

@@ -6,36 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.pairs import exclude_entities, exclude_pairs
-from pairloom.operators.sampling import portable_int
+from pairloom.operators.sampling import hash_sample, portable_int, random_key
 from pairloom.workspace import cut, write_table
 
 
-def propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def propagate(edges: DataFrame) -> DataFrame:
     """(node, label) of every endpoint of ``edges`` (a, b): ``label`` is the smallest node of its component.
 
-    Each round takes the smallest label among the neighbours, hooks whole trees to smaller
-    roots, and follows the label's own label (pointer jumping): about log n rounds for a chain
-    of n nodes.  A round writes one table and drops the one before.
+    Contraction.  In each round every node moves to the neighbour of lowest hash (or stays), then
+    once more, and the edges are redrawn between the places moved to; edges within one place are
+    dropped.  Hash order makes chains shrink by a constant factor too, so all rounds
+    together cost a few times the first one, and the rounds end: the node of highest hash of
+    a component is nobody's place.  The places are then looked up from the last round back to the first.
+    Tables of a round are dropped as soon as the next one has been written.
     """
-    forward = edges.where("a <> b").select("a", "b")
-    both = cut(forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.df.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        lower = labels.df.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "other").alias("new"))
-        hooks = lower.where("new < label").groupBy(F.col("label").alias("root")).agg(F.min("new").alias("hook"))
-        stage = write_table(lower.join(hooks, F.col("label") == F.col("root"), "left").select("node", "label", F.least("new", "hook").alias("new")), "hooked")
-        jump = stage.df.select(F.col("node").alias("at"), F.col("new").alias("further"))
-        best = F.least("new", "further")
-        later = write_table(stage.df.join(jump, F.col("new") == F.col("at"), "left").select("node", best.alias("label"), (best != F.col("label")).alias("moved")), "labels")
-        settled = later.df.where("moved").isEmpty()
-        later.df = later.df.select("node", "label")
-        stage.drop()
-        labels.drop()
-        labels = later
-        if settled:
-            return labels.df
-    raise RuntimeError(f"components not settled in {max_rounds} rounds")
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, moves = write_table(ends, "edges"), []
+    empty = left.df.isEmpty()
+    while not empty:
+        both = left.df.unionByName(left.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        best = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("place"))
+        first = write_table(best, "moves")
+        again = first.df.select(F.col("node").alias("at"), F.col("place").alias("further"))
+        move = write_table(first.df.join(again, F.col("place") == F.col("at")).select("node", F.col("further").alias("place")), "moves")
+        moves.append(move)
+        to = lambda c: move.df.select(F.col("node").alias(c), F.col("place").alias(f"to_{c}"))
+        drawn = left.df.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b")
+        later = write_table(drawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        first.drop()
+        left.drop()
+        left = later
+        empty = left.df.isEmpty()
+    left.drop()
+    if not moves:
+        return ends.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    root = moves[-1]
+    for move in reversed(moves[:-1]):
+        up = root.df.select(F.col("node").alias("at"), F.col("place").alias("root"))
+        later = write_table(move.df.join(up, F.col("place") == F.col("at"), "left").select("node", F.coalesce("root", "place").alias("place")), "roots")
+        root.drop()
+        move.drop()
+        root = later
+    smallest = root.df.groupBy("place").agg(F.min("node").alias("label"))
+    return root.df.join(smallest, "place").select("node", "label")
 
 
 def pair_components(pairs: DataFrame) -> DataFrame:
@@ -46,6 +60,13 @@ def pair_components(pairs: DataFrame) -> DataFrame:
     return found.unionByName(alone.select("node", F.col("node").alias("label")))
 
 
+def banned_and_aliases(ids: DataFrame, cards: DataFrame, fps: DataFrame, fp: str = "fp") -> DataFrame:
+    """(id, stated, alias): banned cards, and whether they are stated by ``ids`` and have a content of ``fps`` (fp)."""
+    same = cards.join(fps.select(fp).distinct(), fp, "left_semi").select("id", F.lit(True).alias("_alias"))
+    both = ids.select("id", F.lit(True).alias("_stated")).distinct().join(same, "id", "full")
+    return both.select("id", F.coalesce("_stated", F.lit(False)).alias("stated"), F.coalesce("_alias", F.lit(False)).alias("alias"))
+
+
 def alias_edges(cards: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b): every card tied to the smallest id with its content fingerprint (a star, not all pairs)."""
     first = cards.groupBy(fp).agg(F.min("id").alias("a"))
@@ -90,8 +111,14 @@ def transitive_negatives(clusters: DataFrame, positives: DataFrame, negatives: D
     return exclude_entities(exclude_pairs(exclude_pairs(pairs, negatives), positives), banned)
 
 
-def transitive_pairs(clusters: DataFrame, positives: DataFrame, negatives: DataFrame, banned: DataFrame) -> DataFrame:
-    """(id1, id2, target): positives first, then negatives that are no positive."""
-    pos = cut(transitive_positives(clusters, positives), "positives")
-    neg = transitive_negatives(clusters, positives, negatives, banned)
+def transitive_pairs(clusters: DataFrame, positives: DataFrame, negatives: DataFrame, banned: DataFrame, max_positives: int = 0, max_negatives: int = 0, seed: str = "closure") -> DataFrame:
+    """(id1, id2, target): positives first, then negatives that are no positive.
+
+    ``max_positives`` and ``max_negatives`` keep a random sample of so many pairs of either kind
+    (by hash, the same on any cluster); 0 keeps all.
+    """
+    key = random_key(seed, F.col("id1"), F.col("id2"))
+    few = lambda df, n: hash_sample(df.withColumn("_key", key), "_key", n).drop("_key") if n else df
+    pos = cut(few(transitive_positives(clusters, positives), max_positives), "positives")
+    neg = few(transitive_negatives(clusters, positives, negatives, banned), max_negatives)
     return pos.withColumn("target", F.lit(1.0)).unionByName(exclude_pairs(neg, pos).withColumn("target", F.lit(0.0)))

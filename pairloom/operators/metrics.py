@@ -21,13 +21,15 @@ def average_precision(scored: DataFrame, group: str, score: str, label: str) ->
     return sums.select(group, "n", F.col("pos").cast("bigint").alias("pos"), F.try_divide("part", "pos").alias("ap"))
 
 
-def macro_average_precision(per_group: DataFrame, eligibility: str, min_pos: int = 5) -> DataFrame:
+def macro_average_precision(per_group: DataFrame, eligibility: str, min_pos: int = 5, min_rows: int = 0) -> DataFrame:
     """(groups, macro_ap) over the groups that count.
 
-    ``eligibility``: 'evaluation' min_pos <= pos < n; 'training' pos > 0; 'labelling' 0 < pos < n.
+    ``eligibility``: 'evaluation' min_pos <= pos < n; 'training' pos > 0; 'labelling' 0 < pos < n.  With ``min_rows`` the mean
+    is null unless all groups have more rows than that.
     """
     rule = {"evaluation": (F.col("pos") >= min_pos) & (F.col("pos") < F.col("n")), "training": F.col("pos") > 0, "labelling": (F.col("pos") > 0) & (F.col("pos") < F.col("n"))}[eligibility]
-    return per_group.where(rule).agg(F.count(F.lit(1)).alias("groups"), F.avg("ap").alias("macro_ap"))
+    counted = per_group.agg(F.count_if(rule).alias("groups"), F.avg(F.when(rule, F.col("ap"))).alias("macro_ap"), F.sum("n").alias("_rows"))
+    return counted.select("groups", F.when(F.coalesce("_rows", F.lit(0)) > min_rows, F.col("macro_ap")).alias("macro_ap")) if min_rows else counted.select("groups", "macro_ap")
 
 
 def percentile_rank(df: DataFrame, group: str, score: str, name: str) -> DataFrame:

@@ -84,13 +84,31 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def latest_cards(items: DataFrame) -> DataFrame:
+def first_cards(items: DataFrame) -> DataFrame:
     """One row per id: the first delivery.  An aggregate, not a window: it combines before the shuffle."""
     rest = [c for c in items.columns if c not in ("id", "loaded_at")]
+    if not rest:
+        return items.where("id is not null").select("id").distinct()
     first = F.min_by(F.struct(*rest), F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp")))
     return items.where("id is not null").groupBy("id").agg(first.alias("_c")).select("id", *[F.col(f"_c.{c}").alias(c) for c in rest])
 
 
+def category_faults(pairs: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row: pairs of two categories, with a card that has none, and whose own ``category`` is not that of their cards."""
+    both = attach(pairs, cards, "category")
+    crossed, unknown = F.col("category1") != F.col("category2"), F.expr("category1 is null or category2 is null")
+    wrong = ~F.col("category").eqNullSafe(F.col("category1"))
+    return both.agg(F.count_if(crossed).alias("crossed"), F.count_if(unknown).alias("unknown"), F.count_if(wrong & ~unknown).alias("misdeclared"), F.count(F.lit(1)).alias("total"))
+
+
+def fingerprint_faults(pairs: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row: pairs that store item_fp1, item_fp2 and whose cards lack a fingerprint, or have another one."""
+    both = attach(pairs, cards, "fp")
+    missing = F.expr("fp1 is null or fp2 is null")
+    other = ~(F.col("fp1").eqNullSafe(F.col("item_fp1")) & F.col("fp2").eqNullSafe(F.col("item_fp2")))
+    return both.agg(F.count_if(missing).alias("missing"), F.count_if(other & ~missing).alias("mismatched"), F.count(F.lit(1)).alias("total"))
+
+
 def sound(matches: DataFrame) -> DataFrame:
     """Rows with two different cards and a target within 0..1."""
     return matches.where("id1 is not null and id2 is not null and id1 <> id2 and target is not null and not isnan(target) and target between 0 and 1")

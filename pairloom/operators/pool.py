@@ -1,34 +1,20 @@
-"""Assembling training pools: purges with reasons, caps, holdouts, weights, prompts, a linear model."""
+"""Assembling training pools: purges with reasons, caps, holdouts, weights, a linear model and its probe."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import scores as S
 from pairloom.functions import text as T
 from pairloom.operators import pairs as P
-from pairloom.operators.sampling import random_key, smallest_per_group
+from pairloom.operators.metrics import average_precision, macro_average_precision
+from pairloom.operators.sampling import hash_sample, random_key, smallest_per_group
 from pairloom.sources.tables import scan
 from pairloom.workspace import cut
 
-# The wording around two prompt cards.
-QUESTION = ("Карточка A\n", "\n\nКарточка B\n", "\n\nОдин и тот же товар? Ответь одним словом (да/нет):")
-
-
-def messages(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (card1, card2) with ``user``: the question an annotator gets."""
-    text = F.concat(F.lit(QUESTION[0]), F.coalesce("card1", F.lit("")), F.lit(QUESTION[1]), F.coalesce("card2", F.lit("")), F.lit(QUESTION[2]))
-    return pairs.withColumn("user", text)
-
-
-def chat(system: str, examples: list[tuple[str, str]], user: str = "user") -> F.Column:
-    """array<struct<role, content>>: a system message, worked examples, and the question."""
-    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    shown = [t for q, a in examples for t in (turn("user", F.lit(q)), turn("assistant", F.lit(a)))]
-    return F.array(turn("system", F.lit(system)), *shown, turn("user", F.col(user)))
-
-
 def purge_flags(pairs: DataFrame, banned_pairs: DataFrame, ids: DataFrame, fps: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """``pairs`` with by_pair, by_id and by_fp: the reasons to leave a pair out.
 
@@ -56,12 +42,6 @@ def leakage_reasons(pairs: DataFrame, banned_pairs: DataFrame, ids: DataFrame, f
     return repeated.select("id1", "id2", F.array_join(reasons, ";").alias("reason")).where("reason <> ''")
 
 
-def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest keys."""
-    one = rows.withColumn("_all", F.lit(1)).withColumn("_quota", F.lit(n).cast("bigint"))
-    return smallest_per_group(one, ["_all"], key, "_quota").drop("_all", "_quota")
-
-
 def capped(rows: DataFrame, positive: str, key: str, limit: int, pos_share: float) -> DataFrame:
     """At most ``limit`` rows, ``pos_share`` of them positive as far as there are; spare room goes to the rest."""
     count = {r[0]: r[1] for r in rows.groupBy(positive).count().collect()}  # two rows
@@ -100,17 +80,18 @@ def banned_cards(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fp = T.fingerprint(F.col("name"), F.col("attributes"), F.col("category")).alias("fp")
     held = cut(P.endpoints(scan(s, d, "hardval_v1", "id1", "id2")), "held")
     first = cut(P.endpoints(scan(s, d, "folds_v1").where("fold = 0").select("id1", "id2")), "first")
-    cards = cut(P.latest_cards(scan(s, d, "items", "id", "name", "attributes", "category", "loaded_at")).select("id", fp), "fps")
+    cards = cut(P.first_cards(scan(s, d, "items", "id", "name", "attributes", "category", "loaded_at").select("id", fp, "loaded_at")), "fps")
     shown = scan(s, d, "hardval_v1_items").join(held, "id", "left_semi").select(fp)
     fps = shown.unionByName(cards.join(first, "id", "left_semi").select("fp")).distinct()
     return cut(held.unionByName(cards.join(fps, "fp", "left_semi").select("id")).distinct(), "banned"), first
 
 
-def training_pool(s: SparkSession, d: str, min_confidence: float = 0.2, extra_limit: int = 0, extra_pos: float = 0.35, human_weight: float = 1.5) -> DataFrame:
+def training_pool(s: SparkSession, d: str, min_confidence: float = 0.2, extra_limit: int = 0, extra_pos: float = 0.35, human_weight: float = 1.5, human_limit: int = 0) -> DataFrame:
     """(id1, id2, target, weight, stream): weak base, transitive extras that override it, and human pairs, none touching a card of the holdout or content of holdout or fold-0 cards.
 
     Human pairs also touch no card of fold 0 itself; a null fold is not fold 0.  ``extra_limit``
-    caps the extras, ``extra_pos`` of them positive; 0 keeps all.
+    caps the extras, ``extra_pos`` of them positive, ``human_limit`` the human pairs by a random sample;
+    0 keeps all.
     """
     held, first = banned_cards(s, d)
     base = P.exclude_entities(P.weak_pairs(scan(s, d, "matches_llm", "id1", "id2", "target")), held).where(S.confidence(F.col("target")) >= min_confidence)
@@ -120,15 +101,20 @@ def training_pool(s: SparkSession, d: str, min_confidence: float = 0.2, extra_li
     extra = capped(cut(extra, "extra"), "positive", "key", extra_limit, extra_pos) if extra_limit else extra
     extra = cut(extra.select("id1", "id2", "target", F.lit(1.0).alias("weight")), "extra")
     people = P.exclude_entities(P.exclude_entities(one(scan(s, d, "folds_v1").where("fold is null or fold <> 0"), "target"), held), first).withColumn("weight", F.lit(human_weight))
+    if human_limit:
+        people = hash_sample(people.withColumn("key", random_key("human", F.col("id1"), F.col("id2"))), "key", human_limit).drop("key")
     tagged = lambda df, name: df.withColumn("stream", F.lit(name))
     return tagged(P.exclude_pairs(base, extra), "base").unionByName(tagged(extra, "extra")).unionByName(tagged(people, "human"))
 
 
-def rank_loss(scored: DataFrame, group: str, score: str, label: str) -> DataFrame:
+def rank_loss(scored: DataFrame, group: str, score: str, label: str, digits: int | None = None) -> DataFrame:
     """(group, pairs, loss): mean softplus of negative minus positive score over all positive-negative pairs of a group.
 
-    Scores are first aggregated, so the join is over distinct scores, not rows.
+    Scores are first aggregated, so the join is over distinct scores, not rows.  ``digits``
+    rounds scores first, which bounds the join for scores of full precision (three digits:
+    a million pairs a group, an error of the loss below 0.001).
     """
+    scored = scored if digits is None else scored.withColumn(score, F.round(score, digits))
     n = scored.groupBy(group, score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
     pos = n.where("p > 0").select(group, F.col(score).alias("sp"), "p")
     neg = n.where("q > 0").select(group, F.col(score).alias("sn"), "q")
@@ -137,14 +123,40 @@ def rank_loss(scored: DataFrame, group: str, score: str, label: str) -> DataFram
     return joined.groupBy(group).agg(F.sum(F.col("p") * F.col("q")).cast("bigint").alias("pairs"), F.round(F.sum(term) / F.sum(F.col("p") * F.col("q")), 6).alias("loss"))
 
 
-def soft_label_model(rows: DataFrame, features: list[str], weight: str | None = None) -> DataFrame:
-    """(name, value): logistic regression on soft targets, each row as a weighted positive and negative."""
-    from pyspark.ml.classification import LogisticRegression
+def _halves(rows: DataFrame, features: list[str], weight: str | None) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     w = F.col(weight) if weight else F.lit(1.0)
     halves = F.array(F.struct(F.lit(1.0).alias("label"), (w * F.col("target")).alias("w")), F.struct(F.lit(0.0).alias("label"), (w * (1 - F.col("target"))).alias("w")))
     each = rows.select(*features, F.explode(halves).alias("h")).select(*features, "h.label", "h.w").where("w > 0")
-    model = LogisticRegression(weightCol="w", maxIter=50).fit(VectorAssembler(inputCols=features, outputCol="features").transform(each))
+    return VectorAssembler(inputCols=features, outputCol="features").transform(each)
+
+
+def soft_label_model(rows: DataFrame, features: list[str], weight: str | None = None) -> DataFrame:
+    """(name, value): logistic regression on soft targets, each row as a weighted positive and negative."""
+    from pyspark.ml.classification import LogisticRegression
+
+    model = LogisticRegression(weightCol="w", maxIter=50).fit(_halves(rows, features, weight))
     values = [("intercept", float(model.intercept)), *zip(features, map(float, model.coefficients), strict=True)]
     return rows.sparkSession.createDataFrame(values, "name string, value double")
+
+
+def best_by_probe(rows: DataFrame, features: list[str], probe: DataFrame, group: str, label: str, steps: list[int], weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The model (name, value) with the best macro average precision on ``probe`` after one of ``steps`` iterations, and all probes (step, macro_ap).
+
+    Groups of ``probe`` without a positive don't count; the earlier of equally good models is kept.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    train = _halves(rows, features, weight).select("features", "label", "w").cache()
+    found, best = [], None
+    for step in sorted(steps):
+        model = LogisticRegression(weightCol="w", maxIter=step).fit(train)
+        margin = reduce(lambda a, b: a + b, [F.lit(float(c)) * F.col(f) for f, c in zip(features, model.coefficients, strict=True)], F.lit(float(model.intercept)))
+        ap = macro_average_precision(average_precision(probe.withColumn("_score", margin), group, "_score", label), "training").head().macro_ap or 0.0
+        found.append((step, float(ap)))
+        if best is None or ap > best[0]:
+            best = (ap, [("intercept", float(model.intercept)), *zip(features, map(float, model.coefficients), strict=True)])
+    train.unpersist()
+    spark = rows.sparkSession
+    return spark.createDataFrame(best[1] if best else [], "name string, value double"), spark.createDataFrame(found, "step int, macro_ap double")

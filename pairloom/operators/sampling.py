@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranking import cumulative_in_groups
+
 
 def random_key(seed: str, *parts: Column) -> Column:
     """md5 of the seed and the parts, as 32 hex digits."""
@@ -41,6 +43,32 @@ def smallest_per_group(df: DataFrame, groups: list[str], key: str, quota: str) -
     return whole.unionByName(last).select(*df.columns)
 
 
+def top_per_group(df: DataFrame, group: str, score: str, ties: list[str], quota: str) -> DataFrame:
+    """The rows with the ``quota`` largest ``score``s of each ``group``, equal scores in the order of ``ties``.
+
+    Scores are counted first; whole scores above the one at which a group's quota ends are
+    taken, and only the rows of that score are sorted.
+    """
+    counts = df.groupBy(group, score).agg(F.count(F.lit(1)).alias("_top_n"), F.max(quota).alias("_top_q"))
+    upto = cumulative_in_groups(counts, group, [F.col(score).desc()], {"_top_upto": F.col("_top_n")})
+    room = upto.select(F.col(group).alias("_top_g"), F.col(score).alias("_top_s"), "_top_n", (F.col("_top_q") - F.col("_top_upto") + F.col("_top_n")).alias("_top_room")).where("_top_room > 0")
+    open_rows = df.join(room, F.col(group).eqNullSafe(F.col("_top_g")) & (F.col(score) == F.col("_top_s")))
+    place = F.row_number().over(Window.partitionBy(group, score).orderBy(*ties))
+    last = open_rows.where("_top_n > _top_room").withColumn("_top_place", place).where("_top_place <= _top_room").drop("_top_place")
+    return open_rows.where("_top_n <= _top_room").unionByName(last).select(*df.columns)
+
+
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest keys."""
+    one = rows.withColumn("_all", F.lit(1)).withColumn("_quota", F.lit(n).cast("bigint"))
+    return smallest_per_group(one, ["_all"], key, "_quota").drop("_all", "_quota")
+
+
+def shuffled(df: DataFrame, seed: str, *keys: str) -> DataFrame:
+    """``df`` in an order given by the hash of ``seed`` and ``keys``: the same on any cluster."""
+    return df.orderBy(random_key(seed, *[F.col(k) for k in keys]), *keys)
+
+
 def largest_remainder(shares: list[float], total: int, floors: list[int], caps: list[int]) -> list[int]:
     """Integer quotas close to ``shares`` x ``total``, at least ``floors`` and at most ``caps``.
 

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import scores as S
 from pairloom.functions import text as T
+from pairloom.operators import audit as A
 from pairloom.operators import consensus as C
 from pairloom.operators import graph as G
+from pairloom.operators import labelling as B
 from pairloom.operators import metrics as M
 from pairloom.operators import pairs as P
 from pairloom.operators import pool as L
 from pairloom.operators import quotas as Q
 from pairloom.operators import scoring as R
 from pairloom.operators.ranking import ordinal
-from pairloom.operators.sampling import portable_int, random_key, smallest_per_group
+from pairloom.operators.sampling import hash_sample, portable_int, random_key, smallest_per_group
 from pairloom.sources.tables import scan
 from pairloom.workspace import cut
 
@@ -37,9 +39,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 # ---- views over the tables
 
 
-def cards(s: SparkSession, d: str, *columns: str) -> DataFrame:
+def delivered(s: SparkSession, d: str, *columns: str, ids: DataFrame | None = None) -> DataFrame:
+    """All deliveries of the cards, of ``ids`` only if given: what a query doesn't need never reaches an aggregate."""
+    rows = scan(s, d, "items", "id", *columns, "loaded_at")
+    return rows if ids is None else rows.join(ids, "id", "left_semi")
+
+
+def cards(s: SparkSession, d: str, *columns: str, ids: DataFrame | None = None) -> DataFrame:
     """One row per card, with the columns asked for."""
-    return P.latest_cards(scan(s, d, "items", "id", *columns, "loaded_at"))
+    return P.first_cards(delivered(s, d, *columns, ids=ids))
 
 
 def weak(s: SparkSession, d: str) -> DataFrame:
@@ -53,7 +61,9 @@ def human(s: SparkSession, d: str) -> DataFrame:
 
 
 def fingerprints(s: SparkSession, d: str) -> DataFrame:
-    return cards(s, d, "name", "attributes", "category").select("id", T.fingerprint(F.col("name"), F.col("attributes"), F.col("category")).alias("fp"))
+    """(id, fp): hashed row by row, so that digests and not texts are aggregated."""
+    fp = T.fingerprint(F.col("name"), F.col("attributes"), F.col("category")).alias("fp")
+    return P.first_cards(delivered(s, d, "name", "attributes", "category").select("id", fp, "loaded_at"))
 
 
 def exclusions(s: SparkSession, d: str) -> DataFrame:
@@ -67,9 +77,9 @@ def holdout_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def texts(s: SparkSession, d: str, cap: int, ids: DataFrame | None = None) -> DataFrame:
-    rows = cards(s, d, "name", "category", "attributes")
-    rows = rows if ids is None else rows.join(ids, "id", "left_semi")
-    return T.with_entries(rows).select("id", T.card_text(F.col("name"), F.col("category"), F.col("entries"), cap).alias("text"))
+    """(id, text): written row by row, so that capped texts and not whole attributes are aggregated."""
+    rows = T.with_entries(delivered(s, d, "name", "category", "attributes", ids=ids))
+    return P.first_cards(rows.select("id", T.card_text(F.col("name"), F.col("category"), F.col("entries"), cap).alias("text"), "loaded_at"))
 
 
 def lexical(s: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
@@ -98,13 +108,32 @@ def annotator_scores(s: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-def judged(s: SparkSession, d: str) -> DataFrame:
-    """Weak pairs with the consensus of the two annotators; a hash flag stands for a rule's conflict."""
-    rows = cut(annotator_scores(s, d), "scores")  # as a table of annotators' scores would be
+def scorer_columns(rows: DataFrame) -> DataFrame:
+    """Two scorers x and y in both orders, drawn by hash around a common value; in one row in ten x changes with the order."""
+    base, part = salted("ce") % 901, lambda salt: salted(salt) % 100
+    rows = rows.withColumn("x_ab", (base + part("cx")) / F.lit(1000.0)).withColumn("y_ab", (base + part("cy")) / F.lit(1000.0)).withColumn("y_ba", (base + part("cyr")) / F.lit(1000.0))
+    rows = rows.withColumn("x_ba", F.when(salted("cu") % 10 == 0, 1 - F.col("x_ab")).otherwise((base + part("cxr")) / F.lit(1000.0)))
+    for c in ("x", "y"):
+        rows = rows.withColumn(c, F.round((F.col(f"{c}_ab") + F.col(f"{c}_ba")) / 2, 6)).withColumn(f"{c}_gap", F.abs(F.col(f"{c}_ab") - F.col(f"{c}_ba")))
+    return rows
+
+
+def judged(s: SparkSession, d: str, vetoes: bool = True) -> DataFrame:
+    """Weak pairs with the consensus of the two annotators; a hash flag stands for a rule's conflict.
+
+    With ``vetoes`` two scorers, ranked within the category of the first card, may veto; only queries
+    that show nothing of acceptance do without.
+    """
+    rows = annotator_scores(s, d)
+    if vetoes:
+        rows = scorer_columns(rows.join(category_of(s, d).select(F.col("id").alias("id1"), "category"), "id1", "left"))
+    rows = cut(rows, "scores")  # as a table of annotators' scores would be
+    if vetoes:
+        rows = C.scorer_ranks(rows, ["x", "y"], "category")
     for t in ("a", "b"):
         rows = rows.withColumn(f"p_{t}", S.platt(F.col(f"{t}_logit"), 1.0, 0.0)).withColumn(f"gap_{t}", S.order_gap(F.col(f"{t}_ab"), F.col(f"{t}_ba"), 1.0, 0.0))
     rows = rows.withColumn("identifier_conflict", (salted("rule") % 20 == 0).cast("double"))
-    return C.decide(rows, ANNOTATORS, RULES, C.rule_conflict(["identifier_conflict", "quantity_conflict", "model_conflict"], rows.columns))
+    return C.decide(rows, ANNOTATORS, RULES, C.rule_conflict(["identifier_conflict", "quantity_conflict", "model_conflict"], rows.columns), ["x", "y"] if vetoes else None)
 
 
 def r6(c: str) -> F.Column:
@@ -127,7 +156,7 @@ def q_item_subset(s, d):
 
 @query
 def q_needed_items(s, d):
-    return cards(s, d, "category").join(P.endpoints(holdout_pairs(s, d)), "id", "left_semi")
+    return cards(s, d, "category", ids=P.endpoints(holdout_pairs(s, d)))
 
 
 # ---- projections
@@ -150,8 +179,8 @@ def q_prompt_card(s, d):
 @query
 def q_messages(s, d):
     pairs = scan(s, d, "hardval_v1").distinct()
-    shown = prompt_cards(cards(s, d, "name", "attributes").join(P.endpoints(pairs), "id", "left_semi"))
-    return L.messages(P.attach(pairs, shown, "card")).select("id1", "id2", "label", "user")
+    shown = prompt_cards(cards(s, d, "name", "attributes", ids=P.endpoints(pairs)))
+    return B.messages(P.attach(pairs, shown, "card")).select("id1", "id2", "label", "user")
 
 
 @query
@@ -206,7 +235,7 @@ def q_ivar_weight(s, d):
 
 
 def name_similarity(s, d, pairs: DataFrame) -> DataFrame:
-    tokens = cards(s, d, "name").join(P.endpoints(pairs), "id", "left_semi").select("id", T.name_tokens(F.col("name")).alias("tokens"))
+    tokens = cards(s, d, "name", ids=P.endpoints(pairs)).select("id", T.name_tokens(F.col("name")).alias("tokens"))
     none = F.array().cast("array<string>")
     both = P.attach(pairs, tokens, "tokens")
     return both.withColumn("jaccard", T.set_jaccard(F.coalesce("tokens1", none), F.coalesce("tokens2", none), -1.0)).drop("tokens1", "tokens2")
@@ -312,7 +341,7 @@ def q_min_confidence(s, d):
 @query
 def q_sample_complement(s, d):
     rows = weak(s, d).withColumn("key", random_key("pre", F.col("id1"), F.col("id2")))
-    taken = cut(L.hash_sample(rows, "key", 1000), "taken")
+    taken = cut(hash_sample(rows, "key", 1000), "taken")
     return rows.join(taken.select("id1", "id2"), ["id1", "id2"], "left_anti").select("id1", "id2", "votes")
 
 
@@ -357,8 +386,8 @@ def _scores(s, d, salt: str) -> DataFrame:
 
 @query
 def q_align_teachers(s, d):
-    rows = C.align(_scores(s, d, "a"), _scores(s, d, "b"), ["logit", "votes"])
-    return rows.select("lo", "hi", r6("logit_a"), r6("logit_b"), F.col("votes_a").eqNullSafe(F.col("votes_b")).alias("agree"))
+    rows = C.align({t: _scores(s, d, t) for t in ("a", "b")}, ["logit"], ["votes"], strict=False)
+    return rows.select("lo", "hi", r6("logit_a"), r6("logit_b"), F.col("votes").isNotNull().alias("agree"))
 
 
 @query
@@ -437,7 +466,8 @@ def q_distinct_counts(s, d):
 @query
 def q_conflicting_ids(s, d):
     rows = scan(s, d, "items", "id", "name", "category", "attributes").unionByName(scan(s, d, "hardval_v1_items", "id", "name", "category", "attributes"))
-    return rows.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("versions")).where("versions > 1")
+    planted = rows.where(portable_int(F.concat_ws("|", F.lit("conflict"), "id")) % 50 == 0).withColumn("category", F.lit("planted"))  # the tables themselves have no conflict
+    return rows.unionByName(planted).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("versions")).where("versions > 1")
 
 
 @query
@@ -498,11 +528,16 @@ def q_content_dups(s, d):
 
 @query
 def q_ce_veto(s, d):
-    rows = judged(s, d).join(category_of(s, d).select(F.col("id").alias("id1"), "category"), "id1").where("category is not null").withColumn("ce", F.round("p_b", 6))
-    ranked = M.percentile_rank(rows, "category", "ce", "rank")
-    stable = F.col("gap_b") <= 0.15
-    negative, positive = F.col("consensus") <= RULES.negative, F.col("consensus") >= RULES.positive
-    return ranked.select("id1", "id2", (negative & stable & (F.col("rank") >= 0.75)).alias("negative_veto"), (positive & stable & (F.col("rank") <= 0.9)).alias("positive_veto")).where("negative_veto or positive_veto")
+    negative, positive = C.rank_vetoes(["x", "y"], RULES)
+    flags = judged(s, d).select("id1", "id2", ((F.col("consensus") <= RULES.negative) & negative).alias("negative_veto"), ((F.col("consensus") >= RULES.positive) & positive).alias("positive_veto"))
+    return flags.where("negative_veto or positive_veto")
+
+
+@query
+def q_scorer_faults(s, d):
+    rows = scorer_columns(weak(s, d).join(category_of(s, d).select(F.col("id").alias("id1"), "category"), "id1", "left"))
+    wrong = rows.withColumn("x", F.when(salted("f1") % 40 == 0, F.col("x") + 0.001).otherwise(F.col("x"))).withColumn("y_gap", F.when(salted("f2") % 30 == 0, F.lit(0.5)).otherwise(F.col("y_gap")))
+    return C.scorer_faults(wrong, ["x", "y"], "category")
 
 
 # ---- samples and quotas
@@ -527,7 +562,7 @@ def q_topk_cell(s, d):
 @query
 def q_sample(s, d):
     rows = weak(s, d).withColumn("key", random_key("sample", F.col("id1"), F.col("id2")))
-    return L.hash_sample(rows, "key", 500).select("id1", "id2", "votes")
+    return hash_sample(rows, "key", 500).select("id1", "id2", "votes")
 
 
 @query
@@ -574,11 +609,26 @@ def q_cell_quota(s, d):
     return Q.cell_quotas(Q.apportion(counts, "category", "n", 1001).select("category", "quota"), "category")
 
 
+def _balanced(s, d, by_label: bool, requested: int) -> DataFrame:
+    """The best accepted pairs, balanced; by label over the categories that have five pairs of either label."""
+    rows = cut(judged(s, d).where("category is not null").select("id1", "id2", "category", "label", "accepted", F.round("quality", 6).alias("quality")), "judged")
+    pool = rows.where("accepted")
+    if by_label:
+        both = pool.groupBy("category").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count_if(F.expr("label = 0")).alias("n")).where("least(p, n) >= 5")
+        pool = pool.join(both, "category", "left_semi")
+    shares = None if by_label else {r.category: float(r["count"]) for r in rows.groupBy("category").count().collect()}  # one row per category
+    chosen, _ = Q.select_balanced(pool, "category", "label", "quality", ["id1", "id2"], requested, by_label, shares, allow_missing=True, min_output=0)
+    return chosen.select("id1", "id2", "category", "label")
+
+
 @query
 def q_select_balanced(s, d):
-    rows = _with_category(s, d, judged(s, d).where("accepted").select("id1", "id2", "label", F.round("quality", 6).alias("quality")))
-    w = Window.partitionBy("category").orderBy(F.desc("quality"), "id1", "id2")
-    return rows.withColumn("place", F.row_number().over(w)).where("place <= 3").select("id1", "id2", "category")
+    return _balanced(s, d, False, 400)
+
+
+@query
+def q_select_label_balanced(s, d):
+    return _balanced(s, d, True, 150)
 
 
 @query
@@ -622,8 +672,15 @@ def q_endpoints(s, d):
 
 @query
 def q_leak_check(s, d):
-    kept = P.exclude_entities(weak(s, d), P.endpoints(holdout_pairs(s, d)))
-    return P.endpoints(kept).join(P.endpoints(holdout_pairs(s, d)), "id", "left_semi").agg(F.count("id").alias("leaks"))
+    held = P.endpoints(holdout_pairs(s, d))
+    shared = lambda pairs, name: P.endpoints(pairs).join(held, "id", "left_semi").agg(F.count("id").alias(name))
+    return shared(weak(s, d), "before").join(shared(P.exclude_pairs(weak(s, d), holdout_pairs(s, d)), "without_pairs")).join(shared(P.exclude_entities(weak(s, d), held), "without_ids"))  # one row each
+
+
+@query
+def q_banned(s, d):
+    out = exclusions(s, d)
+    return G.banned_and_aliases(out.select("id"), fingerprints(s, d), out.select("fp"))
 
 
 # ---- graphs
@@ -685,6 +742,11 @@ def q_transitive_pairs(s, d):
     return G.transitive_pairs(*_closure(s, d))
 
 
+@query
+def q_transitive_limited(s, d):
+    return G.transitive_pairs(*_closure(s, d), max_positives=100, max_negatives=300)
+
+
 @query
 def q_alias_ban(s, d):
     return fingerprints(s, d).join(exclusions(s, d).select("fp").distinct(), "fp", "left_semi").select("id")
@@ -695,12 +757,12 @@ def q_alias_ban(s, d):
 
 @query
 def q_consensus(s, d):
-    return judged(s, d).select("id1", "id2", r6("consensus"), r6("spread"), r6("max_gap"), "confident")
+    return judged(s, d, vetoes=False).select("id1", "id2", r6("consensus"), r6("spread"), r6("max_gap"), "confident")
 
 
 @query
 def q_consensus_stats(s, d):
-    return judged(s, d).select("id1", "id2", r6("weighted_std"), "conflicting")
+    return judged(s, d, vetoes=False).select("id1", "id2", r6("weighted_std"), "conflicting")
 
 
 @query
@@ -720,7 +782,7 @@ def q_reason_counts(s, d):
 
 @query
 def q_consensus_quality(s, d):
-    return judged(s, d).select("id1", "id2", r6("quality"), r6("sample_weight"))
+    return judged(s, d, vetoes=False).select("id1", "id2", r6("quality"), r6("sample_weight"))
 
 
 @query
@@ -731,9 +793,10 @@ def q_consensus_adjudication(s, d):
 
 @query
 def q_calibration_gap(s, d):
-    rows = annotator_scores(s, d).withColumn("stored", F.round(S.platt(F.col("a_logit"), 0.7, -0.2), 6))
-    gap = F.abs(F.col("stored") - S.platt(F.col("a_logit"), 0.7, -0.2))
-    return rows.agg(F.count_if(gap > 2e-5).alias("beyond"), F.count(F.lit(1)).alias("total"))
+    """Stored probabilities of which one in forty was planted a little off."""
+    right = S.platt(F.col("a_logit"), 0.7, -0.2)
+    rows = annotator_scores(s, d).withColumn("stored", F.round(right + F.when(salted("off") % 40 == 0, 0.001).otherwise(0.0), 6))
+    return rows.agg(F.count_if(F.abs(F.col("stored") - right) > 2e-5).alias("beyond"), F.count(F.lit(1)).alias("total"))
 
 
 @query
@@ -744,9 +807,81 @@ def q_leakage(s, d):
 
 @query
 def q_contract_violations(s, d):
-    stored = judged(s, d).select("id1", "id2", *[f"{c}_{t}" for c in ("p", "gap") for t in ("a", "b")], *[F.col(c).cast("float").alias(f"s_{c}") for c in ("consensus", "spread", "max_gap")])
-    again = stored.withColumns(C.consensus_columns(ANNOTATORS, RULES))
-    return again.agg(*[F.count_if(F.abs(F.col(c) - F.col(f"s_{c}")) > 3e-5).alias(f"{c}_wrong") for c in ("consensus", "spread", "max_gap")], F.count(F.lit(1)).alias("total"))
+    """Faults of a stored table of accepted pairs in which some values were planted wrong and some pairs repeat."""
+    kept = ["id1", "id2", "category", "label", *[f"{c}_{t}" for c in ("p", "gap") for t in ("a", "b")], "spread", "max_gap", "confident", "quality", "sample_weight"]
+    stored = judged(s, d).where("accepted").select(F.col("consensus").alias("target"), *kept)
+    off = lambda c, salt, n, by: F.when(salted(salt) % n == 0, F.col(c) + by).otherwise(F.col(c)).alias(c)
+    planted = {"target": ("t", 30, 0.001), "spread": ("s", 40, 0.001), "max_gap": ("g", 50, 0.001), "confident": ("n", 60, 1), "quality": ("q", 35, 0.001), "sample_weight": ("w", 45, 0.1), "label": ("l", 55, 2)}
+    wrong = stored.select(*[off(c, *planted[c]) if c in planted else F.col(c) for c in stored.columns])
+    table = cut(wrong.unionByName(wrong.where(salted("again") % 25 == 0)), "stored")
+    out = exclusions(s, d)
+    return A.contract_faults(table, ANNOTATORS, RULES, holdout_pairs(s, d), out.select("id").distinct())
+
+
+@query
+def q_exclusion_evidence(s, d):
+    return A.exclusion_evidence(holdout_pairs(s, d), exclusions(s, d))
+
+
+@query
+def q_fingerprint_faults(s, d):
+    both = P.attach(weak(s, d), fingerprints(s, d), "fp").withColumnsRenamed({"fp1": "item_fp1", "fp2": "item_fp2"})
+    planted = both.withColumn("item_fp1", F.when(salted("fp") % 20 == 0, F.lit("0")).otherwise(F.col("item_fp1")))
+    return P.fingerprint_faults(planted, fingerprints(s, d))
+
+
+@query
+def q_category_faults(s, d):
+    return P.category_faults(scan(s, d, "mine_candidates", "id1", "id2", "category"), category_of(s, d))
+
+
+# ---- small columns
+
+
+@query
+def q_text_category(s, d):
+    return texts(s, d, TRAIN_CAP).select("id", T.text_category(F.col("text")).alias("category"))
+
+
+@query
+def q_numbers(s, d):
+    found = F.regexp_extract("name", r"[0-9][0-9.,x]*", 0)
+    return cards(s, d, "name").select("id", F.round(S.number(found), 6).alias("number"))
+
+
+@query
+def q_stored_gap(s, d):
+    rows = annotator_scores(s, d).select("id1", "id2", F.col("a_logit").alias("logit"), F.abs(F.col("a_ab") - F.col("a_ba")).alias("order_gap"))
+    return rows.select("id1", "id2", F.round(S.order_gap_of(rows.columns, 0.7, -0.2), 6).alias("gap"))
+
+
+@query
+def q_human_sample(s, d):
+    rows = human(s, d).where("target is not null and (fold is null or fold <> 0)").withColumn("key", random_key("human", F.col("id1"), F.col("id2")))
+    return hash_sample(rows, "key", 200).select("id1", "id2", "target")
+
+
+@query
+def q_macro_ap_labelling(s, d):
+    return M.macro_average_precision(M.average_precision(_scored(s, d), "category", "score", "label"), "labelling", min_rows=100).select("groups", r6("macro_ap"))
+
+
+@query
+def q_answer_margin(s, d):
+    """log p(yes) - log p(no) where a row's scores stand for the logits of two tokens of either answer."""
+    rows = scan(s, d, "mine_candidates")
+    ok = F.array(*[S.finite(F.col(c)) for c in ("teacher_ab", "teacher_ba", "teacher_score", "teacher_prob")])
+    logits = F.transform(ok, lambda x: S.clip(x, -50.0, 50.0))
+    sound = rows.where(~F.exists(ok, lambda x: x.isNull()))
+    return sound.select("id1", "id2", F.round(B.answer_margin(logits, [0, 1], [2, 3]), 6).alias("margin"))
+
+
+@query
+def q_prompt(s, d):
+    """The whole question with its category."""
+    pairs = scan(s, d, "hardval_v1").where("category is not null").distinct()
+    shown = prompt_cards(cards(s, d, "name", "attributes", ids=P.endpoints(pairs)))
+    return B.messages(P.attach(pairs, shown, "card"), "category").select("id1", "id2", "label", "category", F.md5("user").alias("prompt"))
 
 
 # ---- models

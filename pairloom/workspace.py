@@ -2,17 +2,45 @@
 
 ``spark.checkpoint.dir`` is read from the session.  Only where it is unset (local tests)
 is a folder of our own chosen.  Tables are written as Parquet, which is a fraction of the
-size of ``DataFrame.checkpoint`` files and is read with column pruning.
+size of ``DataFrame.checkpoint`` files and is read with column pruning.  All tables of an
+application lie in one folder of it, which ``clear`` deletes; it is deleted when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_USED: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder for its tables, within shared_dir."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _USED:
+        _USED.add(path)
+        atexit.register(_at_exit, spark, path)
+    return path
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of the application: for long sessions, once their results have been written elsewhere."""
+    _delete(spark, own_dir(spark))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +64,13 @@ class Table:
         self.df = spark.read.parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def write_table(df: DataFrame, label: str = "t") -> Table:
     """Write ``df`` under the shared folder and return it as a table with short lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return Table(spark, path)
 

@@ -4,7 +4,7 @@ from oracle import connect, same
 from pairloom.plans import registry
 
 TEXTS = registry.oracle_sql()
-ROWS_ONLY = {"q_pair_score", "q_train_lr"}
+ROWS_ONLY = {"q_train_lr"}
 
 
 @pytest.fixture(scope="module")
