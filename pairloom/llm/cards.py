@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from pairloom.llm.notation import fold
-from pairloom.workspace import cut
+from pairloom.workspace import cut, write_table
 
 # Attribute names by the fact they state.
 KEY_FACTS = {
@@ -159,7 +159,17 @@ class AttributeReader:
         self.latin = _Cache(latin)
         self.words = _Cache(lambda text: [] if (plain := _plain(text)) in NO_VALUE else _TOKEN.findall(plain))
         self.folded = _Cache(fold)
-        self.seen: dict[str, Counter[str]] = {role: Counter() for role in ("shape", "colour", "pack", "unit", "kind", "further", "names")}
+        self.seen: dict[str, Counter[str]] = {role: Counter() for role in ("shape", "colour", "pack", "unit", "further", "names")}
+        self.kinds: Counter[str] = Counter()  # by whole value: their words are counted at the end
+
+    def counts(self) -> list[tuple[str, str, int]]:
+        """(role, word, n) of all that was counted."""
+        found: Counter[tuple[str, str]] = Counter({(role, word): n for role, words in self.seen.items() for word, n in words.items()})
+        for text, n in self.kinds.items():
+            for word in set(self.words[text]):
+                if len(word) > 1:
+                    found["kind", word] += n
+        return [(role, word, n) for (role, word), n in found.items()]
 
     def code(self, tokens: list[str]) -> str:
         return "".join(tokens).translate(_LOOKALIKE)
@@ -184,7 +194,7 @@ class AttributeReader:
         """(name tokens, brand, line, code, colour, dim, amount, pack, kind words); what is not stated is None or empty."""
         brand = line = code = colour = dim = pack = amount = None
         kind: list[str] = []
-        seen, words, spelt = self.seen, self.words, self.latin
+        seen, kinds, words, spelt = self.seen, self.kinds, self.words, self.latin
         for raw, value in self._fields(attributes):
             fact, unit = self.keys[raw]
             if fact is None or value is None or isinstance(value, (dict, list, bool)):
@@ -221,11 +231,14 @@ class AttributeReader:
                             seen["unit"][own] += 1
             else:
                 kind += tokens
-                seen["kind"].update({t for t in tokens if len(t) > 1})
+                kinds[text] += 1
         tokens = _TOKEN.findall(name.lower().replace("ё", "е")) if name else []
         if brand and line:
             seen["names"][""] += 1
-            seen["further"].update({t for t in tokens if len(t) > 1 and not t[0].isdigit() and t not in kind and spelt[t] not in (brand, line)})
+            further = seen["further"]
+            for t in set(tokens):
+                if len(t) > 1 and not t[0].isdigit() and t not in kind and spelt[t] != brand and spelt[t] != line:
+                    further[t] += 1
         return tokens, brand, line, code, colour, dim, amount, pack, kind
 
 
@@ -334,7 +347,7 @@ def stated(cards: DataFrame, further: Callable | None = None, schema: str = "")
             bare = [reader.bare(n, c, a) if not r[3] and not (r[1] and r[2]) else None for r, n, c, a in zip(rows, names, categories, texts, strict=True)]
             columns = dict(zip(_STATED, [batch.column("id"), [" ".join(t) for t in tokens], brand, line, code, colour, dim, amount, pack, [" ".join(k) for k in kind], bare], strict=True))
             yield batch_of(columns | {c: batch.column(c) for c in passed} | (further(names, texts) if further else {}), len(rows))
-        counts = [(role, word, n) for role, words in reader.seen.items() for word, n in words.items()]
+        counts = reader.counts()
         if counts:
             role, word, n = zip(*counts, strict=True)
             yield batch_of({"role": role, "word": word, "n": n}, len(counts))
@@ -379,10 +392,10 @@ def read_cards(cards: DataFrame, further: Callable | None = None, schema: str =
     ``bare`` is a digest of the whole record, for cards that state neither two identity
     words nor a code; ``fact`` a digest of all facts.  Null or broken columns read as nothing
     stated.  ``further`` is as in ``stated``.  Known words beyond ``sent`` are joined to the
-    cards by their spelling, not sent, with the same result.
+    cards by their spelling, not sent, with the same result.  The result is a written table.
     """
-    table = cut(stated(cards, further, schema), "stated")
-    words = cut(learned(table), "lexicon")
+    source = write_table(stated(cards, further, schema), "stated")
+    table, words = source.df, cut(learned(source.df), "lexicon")
     rows = table.where("id is not null").drop("role", "word", "n")
     few = words.where("role = 'known'").count() <= sent
     kept = words if few else words.where("role <> 'known'")
@@ -406,4 +419,6 @@ def read_cards(cards: DataFrame, further: Callable | None = None, schema: str =
             arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 8, list(target)[1:9], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, *(batch.column(c) for c in own)], schema=target)
 
-    return rows.mapInArrow(run, whole)
+    done = cut(rows.mapInArrow(run, whole), "cards")
+    source.drop()
+    return done

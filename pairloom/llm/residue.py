@@ -3,9 +3,9 @@
 Two regularised linear classifiers on hashed n-grams, length and title features.  Weak labels
 come from phrases (status lines, script demands, filler) and from the notations of template
 slots.  One classifier judges whole documents (is this a message or filler in place of
-content?), the other single passages around special characters (is this an unfilled slot?);
-a known notation needs only a low score, and without one the score decides alone.  Both are fitted on a bounded
-sample of labelled rows and validated on sources that training never saw.
+content?), the other single passages around special characters (is this an unfilled slot?).
+The scores alone decide; the phrases and notations label the bounded sample both are fitted
+on and nothing else.  Validation is on sources, and on notations, that training never saw.
 """
 
 from __future__ import annotations
@@ -22,18 +22,20 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.mixing import source_key
 from pairloom.operators.sampling import portable_int
-from pairloom.workspace import cut
+from pairloom.workspace import write_table
 
-#: At most so many labelled documents of either label are used for fitting.
-SAMPLE_ROWS = 10_000
+#: Labels and features are made of at most about this many documents (by hash of their ids),
+SAMPLE_DOCS = 20_000
+#: and at most so many rows of either classifier and label are used for fitting; a row has at most DIMS features.
+SAMPLE_ROWS = 6_000
 #: Hashed feature dimensions, ridge penalty, and steps of the solver.
-DIMS, PENALTY, STEPS = 1 << 16, 3e-6, 200
+DIMS, PENALTY, STEPS = 1 << 16, 3e-6, 150
 #: Part of a text that weak phrases must cover for a positive label.
 COVER = 0.3
 #: A text of at least so many words, of which at most this part are distinct, is filler.
 MONOTONE_WORDS, MONOTONE_PART = 20, 0.5
-#: Scores from which a text is a message, and a passage a slot: with a known notation, and by its score alone.
-MESSAGE, SLOT_KNOWN, SLOT_ALONE = 0.5, 0.2, 0.5
+#: Scores from which a text is a message, and a passage a slot.
+MESSAGE, SLOT = 0.5, 0.5
 #: One source in so many is kept for validation.
 HELD_OUT = 4
 
@@ -57,10 +59,22 @@ _PHRASE = re.compile("|".join(PHRASES), re.I)
 _SLOT = re.compile("|".join(SLOTS))
 _SLOT_ANY_CASE = re.compile("|".join(s for s in SLOTS if "A-Z" not in s), re.I)
 _TECHNICAL = re.compile(TECHNICAL, re.I)
-_SPECIAL = re.compile(r"[{}<>\[\]$%@~#*_|&]|undefined|nan|null|object", re.I)
-_SIGN = re.compile(r"[{}<>\[\]$%@~#*_|&]")
+_SPECIAL = re.compile(r"[{}<>\[\]$%@~#*_|&]|\(\(|\)\)|:\w+:|undefined|nan|null|object", re.I)
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_WORDS = re.compile(r"\w+")
+_HEX = re.compile(r"[0-9a-f]{8,}")
+_SPAN = re.compile(r"([{(<\[$%@~#*_|&:]+)([^{}()<>\[\]$%@~#*|&\n]*)([})>\]$%@~#*_|&:]+)")
+_OPENS = dict(zip("{([<", "})]>", strict=True))
+# Words that programs and templates print or name; a passage's neighbours of them are features.
+_NAMED = {"undefined", "nan", "null", "object", "title", "name", "brand", "цвет", "бренд", "название", "вставить", "your"}
+
+
+def notation(text: str) -> int:
+    """The place in SLOTS of the first notation of an unfilled slot that ``text`` shows, len(SLOTS) for a technical value, -1 for none."""
+    if not (_SLOT.search(text) or _SLOT_ANY_CASE.search(text)):
+        return len(SLOTS) if _TECHNICAL.search(text) else -1
+    return next(i for i, s in enumerate(SLOTS) if re.search(s, text) or ("A-Z" not in s and re.search(s, text, re.I)))
 
 
 def slot(text: str) -> bool:
@@ -68,52 +82,93 @@ def slot(text: str) -> bool:
     return bool(_SLOT.search(text) or _SLOT_ANY_CASE.search(text) or _TECHNICAL.search(text))
 
 
-def _piece(p: str) -> str:
-    if p.isdigit():
-        return "9"
-    if len(p) > 7 and all(c in "0123456789abcdef" for c in p):
-        return "hex"
-    return p
+class Hashed(dict):
+    """32-bit hashes of words; digits count alike, as do long hexadecimal numbers."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        text = "9" if word.isdigit() else "hex" if _HEX.fullmatch(word) else word
+        self[word] = value = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
+        return value
 
-def _hashed(grams: dict[str, float]) -> tuple[list[int], list[float]]:
-    return [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % DIMS for g in grams], list(grams.values())
 
+def _named(name: str) -> int:
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) % DIMS
 
-def document_features(text: str) -> tuple[list[int], list[float]]:
-    """Hashed words and word pairs of the whole text (norm 1), its length, and its first line as title."""
-    words = [_piece(w) for w in re.findall(r"\w+", text.lower())]
-    grams = dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))], 1.0)
-    scale = 1 / math.sqrt(max(1, len(grams)))
-    grams = dict.fromkeys(grams, scale)
-    grams |= {f"\x01length {min(10, int(math.log2(len(words) + 1)))}": 0.3, f"\x01variety {int(10 * len(set(words)) / max(1, len(words)))}": 0.3}
-    for w in [_piece(w) for w in re.findall(r"\w+", text.lower().strip().split("\n", 1)[0])][:8]:
-        grams[f"\x01title {w}"] = 0.1
-    return _hashed(grams)
 
+def document_features(texts: list[str], hashed: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of all ``texts``, sorted by row.
 
-def passage_features(text: str) -> tuple[list[int], list[float]]:
-    """Hashed signs, shapes of words, and their runs of up to four, of a passage."""
+    Distinct hashed words and word pairs of the whole text (norm 1), its length and variety, and
+    the words of its first line as title.  Words are hashed once; pairs are hashed as arrays.
+    """
+    words = [_WORDS.findall(t.lower()) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter((hashed[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    row = np.repeat(np.arange(len(texts)), sizes)
+    pairs = (flat[:-1] * np.uint64(0x9E3779B1) + flat[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
+    inner = row[:-1] == row[1:]
+    keys = np.unique(np.concatenate([row * DIMS + (flat % np.uint64(DIMS)).astype(np.int64), (row[:-1] * DIMS + (pairs % np.uint64(DIMS)).astype(np.int64))[inner]]))
+    at, col = keys // DIMS, keys % DIMS
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(texts))))
+    more = []
+    for i, (ws, t) in enumerate(zip(words, texts, strict=True)):
+        more.append((i, _named(f"\x01length {min(10, int(math.log2(len(ws) + 1)))}"), 0.3))
+        more.append((i, _named(f"\x01variety {int(10 * len(set(ws)) / max(1, len(ws)))}"), 0.3))
+        title = {hashed[w] for w in _WORDS.findall(t.lower().strip().split("\n", 1)[0])}
+        more += [(i, (h * 31 + 7) % DIMS, 0.5 / math.sqrt(len(title) + 20)) for h in title]
+    extra = np.array(more, np.float64).reshape(-1, 3)
+    row, col, val = np.concatenate([at, extra[:, 0].astype(np.int64)]), np.concatenate([col, extra[:, 1].astype(np.int64)]), np.concatenate([scale[at], extra[:, 2]])
+    order = np.argsort(row, kind="stable")
+    return row[order], col[order], val[order]
+
+
+def _kind(word: str) -> str:
+    if word.isdigit():
+        return "9"
+    script = "l" if word.isascii() else "c"
+    return script + ("_" if "_" in word or "." in word else "") + ("A" if word.isupper() else "a") + ("1" if len(word) == 1 else "")
+
+
+def _spans(text: str) -> Iterator[str]:
+    """What stands between signs, by the form of the signs and of the words, whatever the signs are."""
+    for m in _SPAN.finditer(text):
+        opens, inner, closes = m.groups()
+        mirrored = all(_OPENS.get(a, a) == b for a, b in zip(opens, reversed(closes), strict=False))
+        words = _WORDS.findall(inner)
+        form = " ".join(dict.fromkeys(_kind(w) for w in words[:6])) or "none"
+        tight = int(not inner[:1].isspace()) + int(not inner[-1:].isspace())
+        few = min(len(words), 4)
+        yield f"\x03between {mirrored} {min(len(opens), 3)} {min(len(closes), 3)} {tight}"
+        yield f"\x03form {mirrored} {min(len(opens), 2)} {form} {few}"
+        yield f"\x03signs {opens} {closes}"
+        yield f"\x03signs {opens} {form}"
+        for w in words[:6]:
+            yield f"\x03word {w.lower()}"
+
+
+def passage_features(text: str) -> list[int]:
+    """Columns of a passage: signs, shapes of words and their runs of up to four, and spans between signs.  All weigh the same."""
     pieces = _PIECE.findall(text)
-    shape = ["9" if p.isdigit() else p if not p[0].isalnum() and p[0] != "_" else ("_" if "_" in p else "") + ("A" if p.isupper() else "a") + ("1" if len(p) == 1 else "") for p in pieces]
-    grams: dict[str, float] = {}
+    shape = [_kind(p) if p[0].isalnum() or p[0] == "_" else p for p in pieces]
+    grams: set[str] = set()
     for i in range(len(shape)):
         for n in (1, 2, 3, 4):
             run = shape[i : i + n]
             if len(run) == n and any(not s[0].isalnum() for s in run):
-                grams["\x02" + " ".join(run)] = 0.5
-    for p in pieces:
-        if p.lower() in ("undefined", "nan", "null", "object", "title", "name", "brand", "цвет", "бренд", "название", "вставить", "your"):
-            grams["\x02w " + p.lower()] = 0.5
-    for a, b in zip(pieces, pieces[1:], strict=False):
-        if a.lower() in ("undefined", "nan", "null"):
-            grams[f"\x02n {a.lower()} {b.lower()}"] = 0.5
-    return _hashed(grams)
+                grams.add("\x02" + " ".join(run))
+    lower = [p.lower() for p in pieces]
+    grams.update("\x02w " + p for p in lower if p in _NAMED)
+    grams.update(f"\x02n {a} {b}" for a, b in zip(lower, lower[1:], strict=False) if a in _NAMED)
+    grams.update(f"\x02p {a} {b}" for a, b in zip(lower, lower[1:], strict=False) if b in _NAMED)
+    grams.update(_spans(text))
+    return [_named(g) for g in grams]
 
 
 def passages(text: str) -> list[str]:
     """The sentences of a text with special characters or technical words."""
-    return [s for s in _SENTENCE.split(text) if _SPECIAL.search(s)]
+    return [s for s in _SENTENCE.split(text) if _SPECIAL.search(s)] if _SPECIAL.search(text) else []
 
 
 class LinearModel:
@@ -122,29 +177,34 @@ class LinearModel:
     def __init__(self):
         self.weights = np.zeros(DIMS + 1, np.float64)
 
-    def fit(self, rows: list[tuple[list[int], list[float]]], labels: list[int]) -> LinearModel:
+    def fit(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, labels: np.ndarray) -> LinearModel:
         """Adam over the full sample; classes weigh the same in sum."""
-        y = np.array(labels, np.float64)
-        if len(set(labels)) < 2:
-            self.weights[DIMS] = 0.0 if not labels else (6.0 if labels[0] else -6.0)
+        y, n = labels.astype(np.float64), len(labels)
+        if not 0 < y.sum() < n:
+            self.weights[DIMS] = 0.0 if not n else (6.0 if y[0] else -6.0)
             return self
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        col = np.concatenate([np.array(r[0], np.int64) for r in rows])
-        val = np.concatenate([np.array(r[1], np.float64) for r in rows])
+        used, col = np.unique(col, return_inverse=True)
         each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-        w, m, v = self.weights, np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+        w, m, v = (np.zeros(len(used) + 1) for _ in range(3))
         for step in range(1, STEPS + 1):
-            p = 1 / (1 + np.exp(-(np.bincount(row, val * w[col], len(rows)) + w[DIMS])))
+            p = 1 / (1 + np.exp(-(np.bincount(row, val * w[col], n) + w[-1])))
             error = (p - y) * each
-            grad = np.append(np.bincount(col, val * error[row], DIMS) + PENALTY * w[:DIMS], error.sum())
+            grad = np.append(np.bincount(col, val * error[row], len(used)) + PENALTY * w[:-1], error.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        self.weights[used], self.weights[DIMS] = w[:-1], w[-1]
         return self
 
-    def score(self, features: tuple[list[int], list[float]]) -> float:
-        at, val = features
-        z = float(self.weights[at] @ np.array(val)) + self.weights[DIMS] if at else self.weights[DIMS]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def scores(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int) -> np.ndarray:
+        """Scores of ``n`` rows."""
+        z = np.bincount(row, val * self.weights[col], n) + self.weights[DIMS]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _passage_arrays(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, features), np.int64, len(features))
+    col = np.fromiter((c for f in features for c in f), np.int64, int(sizes.sum()))
+    return np.repeat(np.arange(len(features)), sizes), col, np.full(len(col), 0.5)
 
 
 def weak_label(text: str | None) -> int | None:
@@ -159,23 +219,28 @@ def weak_label(text: str | None) -> int | None:
 
 
 def _labels(documents: DataFrame) -> DataFrame:
-    """(doc_id, src, kind, label, at, val): labelled documents (kind 0) and passages (kind 1), as features."""
+    """(src, kind, label, notation, key, at, val): labelled documents (kind 0) and passages (kind 1), as features in binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed()
         for batch in batches:
+            known = [(src, text, weak_label(text)) for src, text in zip(batch.column("src").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            judged = [(src, text, label) for src, text, label in known if label is not None]
+            row, col, val = document_features([text for _, text, _ in judged], hashed)
+            edges = np.searchsorted(row, np.arange(len(judged) + 1))
             rows = []
-            for doc, src, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "src", "text")), strict=True):
-                label = weak_label(text)
-                if label is not None:
-                    rows.append((doc, src, 0, label, *document_features(text)))
+            for i, (src, text, label) in enumerate(judged):
+                part = slice(edges[i], edges[i + 1])
+                rows.append((src, 0, label, -1, xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")), col[part].astype(np.int32).tobytes(), val[part].astype(np.float32).tobytes()))
+            for src, text, _ in known:
                 for s in passages(text or ""):
-                    rows.append((doc, src, 1, int(slot(s)), *passage_features(s)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "src", "kind", "label", "at", "val"])
+                    at, which = np.array(passage_features(s), np.int32), notation(s)
+                    rows.append((src, 1, int(which >= 0), which, xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")), at.tobytes(), np.full(len(at), 0.5, np.float32).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["src", "kind", "label", "notation", "key", "at", "val"])
 
-    keyed = documents.select("doc_id", F.coalesce(source_key("source"), F.lit("")).alias("src"), "text")
-    return keyed.mapInArrow(run, "doc_id bigint, src string, kind int, label int, at array<int>, val array<double>")
+    return documents.mapInArrow(run, "src string, kind int, label int, notation int, key bigint, at binary, val binary")
 
 
 def _held_out(src: Column) -> Column:
@@ -184,65 +249,96 @@ def _held_out(src: Column) -> Column:
 
 def _sample(rows: DataFrame, limit: int) -> list:
     """Up to ``limit`` labelled rows of each kind and label, the ones with the smallest hash."""
-    order = [portable_int(F.concat_ws("|", F.lit("fit"), "doc_id")), F.col("doc_id"), F.col("at")]
     out = []
     for kind in (0, 1):
         for label in (0, 1):
-            out += rows.where((F.col("kind") == kind) & (F.col("label") == label)).orderBy(*order).limit(limit).collect()
+            out += rows.where((F.col("kind") == kind) & (F.col("label") == label)).orderBy("key", "at").limit(limit).collect()
     return out
 
 
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, val = [np.frombuffer(r.at, np.int32) for r in rows], [np.frombuffer(r.val, np.float32) for r in rows]
+    none = [np.zeros(0)]
+    return np.repeat(np.arange(len(rows)), [len(a) for a in at]), np.concatenate(at or none).astype(np.int64), np.concatenate(val or none).astype(np.float64)
+
+
 class ResidueModel:
     """The two fitted classifiers."""
 
     def __init__(self, rows: list):
-        by = lambda kind: [r for r in rows if r.kind == kind]
-        self.document, self.passage = (LinearModel().fit([(r.at, r.val) for r in by(k)], [r.label for r in by(k)]) for k in (0, 1))
-
-    def judge(self, text: str | None) -> tuple[float, float, bool]:
-        """(message score, slot score, found) of a text; null and blank texts are no case."""
-        if not text or not text.strip():
-            return 0.0, 0.0, False
-        message = self.document.score(document_features(text))
-        known, alone = 0.0, 0.0
-        for s in passages(text):
-            if slot(s):
-                known = max(known, self.passage.score(passage_features(s)))
-            elif _SIGN.search(s):
-                alone = max(alone, self.passage.score(passage_features(s)))
-        return message, max(known, alone), message >= MESSAGE or known >= SLOT_KNOWN or alone >= SLOT_ALONE
+        by = [[r for r in rows if r.kind == k] for k in (0, 1)]
+        self.document, self.passage = (LinearModel().fit(*_arrays(part), np.array([r.label for r in part])) for part in by)
+
+    def judge(self, texts: list[str | None], hashed: Hashed) -> tuple[np.ndarray, np.ndarray]:
+        """Message and slot scores of ``texts``; null and blank texts are no case."""
+        full = [i for i, t in enumerate(texts) if t and t.strip()]
+        message, best = np.zeros(len(texts)), np.zeros(len(texts))
+        if full:
+            message[full] = self.document.scores(*document_features([texts[i] for i in full], hashed), len(full))
+        owner, features = [], []
+        for i in full:
+            for s in passages(texts[i]):
+                owner.append(i)
+                features.append(passage_features(s))
+        if owner:
+            np.maximum.at(best, owner, self.passage.scores(*_passage_arrays(features), len(features)))
+        return message, best
 
 
 def fit(documents: DataFrame, validation: bool = False, limit: int = SAMPLE_ROWS) -> tuple[ResidueModel, list]:
     """The model fitted on a bounded sample, and with ``validation`` a like sample of held-out sources.
 
-    With ``validation`` the model never sees the held-out sources; without, all sources count.
+    The sample is of the documents with the smallest hashes, about SAMPLE_DOCS; only they are
+    labelled.  With ``validation`` the model never sees the held-out sources; without, all sources count.
     """
-    rows = cut(_labels(documents), "labels")
-    if not validation:
-        return ResidueModel(_sample(rows, limit)), []
-    return ResidueModel(_sample(rows.where(~_held_out(F.col("src"))), limit)), _sample(rows.where(_held_out(F.col("src"))), limit)
+    part = min(1.0, SAMPLE_DOCS / max(1, documents.count()))
+    keyed = documents.select(F.coalesce(source_key("source"), F.lit("")).alias("src"), "text", F.col("doc_id"))
+    drawn = keyed.where(portable_int(F.concat_ws("|", F.lit("fit"), F.col("doc_id").cast("string"))) < int(part * 2**32)).select("src", "text")
+    table = write_table(_labels(drawn.repartition(documents.sparkSession.sparkContext.defaultParallelism)), "labels")
+    rows = table.df
+    if validation:
+        out = ResidueModel(_sample(rows.where(~_held_out(F.col("src"))), limit)), _sample(rows.where(_held_out(F.col("src"))), limit)
+    else:
+        out = ResidueModel(_sample(rows, limit)), []
+    table.drop()
+    return out
 
 
 def residue_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, message, slot, found) of every document."""
+    """(doc_id, message, slot, found) of every document, by the scores of its whole text."""
     model, _ = fit(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed()
         for batch in batches:
-            judged = [model.judge(t) for t in batch.column("text").to_pylist()]
-            message, best, found = zip(*judged, strict=True) if judged else ([],) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(message, pa.float64()), pa.array(best, pa.float64()), pa.array(found, pa.bool_())], ["doc_id", "message", "slot", "found"])
+            message, best = model.judge(batch.column("text").to_pylist(), hashed)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(message), pa.array(best), pa.array((message >= MESSAGE) | (best >= SLOT))], ["doc_id", "message", "slot", "found"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, message double, slot double, found boolean")
 
 
 def validation_report(documents: DataFrame) -> DataFrame:
-    """(kind, rows, positives, precision, recall) on weak labels of sources unseen in training."""
+    """(kind, rows, positives, precision, recall) of the rule in use, on weak labels of sources unseen in training.
+
+    'notation' is the slot classifier on notations unseen in training: for each notation of
+    the list in turn a model is fitted without its passages, and what it finds of them is
+    counted; its precision is that on the other sources' passages without a slot.
+    """
     model, rows = fit(documents, validation=True)
     out = []
-    for kind, name, part in ((0, "message", model.document), (1, "slot", model.passage)):
-        own = [(r.label, part.score((r.at, r.val)) >= 0.5) for r in rows if r.kind == kind]
-        hit, said, true = sum(a and b for a, b in own), sum(b for _, b in own), sum(a for a, _ in own)
-        out.append((name, len(own), true, hit / said if said else 1.0, hit / true if true else 1.0))
+    for kind, name, part, least in ((0, "message", model.document, MESSAGE), (1, "slot", model.passage, SLOT)):
+        own = [r for r in rows if r.kind == kind]
+        said = part.scores(*_arrays(own), len(own)) >= least if own else np.zeros(0, bool)
+        true = np.array([r.label == 1 for r in own], bool)
+        hit = int((said & true).sum())
+        out.append((name, len(own), int(true.sum()), hit / int(said.sum()) if said.any() else 1.0, hit / int(true.sum()) if true.any() else 1.0))
+    slots = [r for r in rows if r.kind == 1]
+    hits = said = total = 0
+    for which in sorted({r.notation for r in slots if r.notation >= 0}):
+        train = [r for i, r in enumerate(slots) if r.notation != which and i % 2 == 0]
+        test = [r for i, r in enumerate(slots) if r.notation == which or (r.notation < 0 and i % 2)]
+        found = LinearModel().fit(*_arrays(train), np.array([r.label for r in train])).scores(*_arrays(test), len(test)) >= SLOT
+        true = np.array([r.notation == which for r in test], bool)
+        hits, said, total = hits + int((found & true).sum()), said + int(found.sum()), total + int(true.sum())
+    out.append(("notation", len(slots), total, hits / said if said else 1.0, hits / total if total else 1.0))
     return documents.sparkSession.createDataFrame(out, "kind string, rows bigint, positives bigint, precision double, recall double")
