@@ -1,8 +1,8 @@
 """Problem 3: consolidating pairwise matches into groups.
 
 The giant component is peeled off by frontier joins from the vertex of highest degree; what
-it leaves is labelled by minimum propagation with pointer jumping.  Every round writes one
-table of labels and drops the one before, so lineage and disk stay bounded and a lost
+it leaves is labelled by minimum propagation over a graph that is contracted in every round.
+Rounds write their tables and drop those before, so lineage and disk stay bounded and a lost
 executor costs one round at most.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.graph import propagate
-from pairloom.workspace import Table, cut, write_table
+from pairloom.workspace import cut, write_table
 
 
 def confident_edges(matches: DataFrame, min_votes: int = 8) -> DataFrame:
@@ -28,25 +28,25 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _peel(both: DataFrame, max_frontiers: int) -> tuple[Table | None, bool]:
-    """The vertices reached from the vertex of highest degree, and whether that is its whole component."""
+def _peel(both: DataFrame, max_frontiers: int) -> tuple[DataFrame | None, bool]:
+    """(a): the vertices reached from the vertex of highest degree, and whether that is its whole component.
+
+    Every frontier is written once; those reached are the union of all.
+    """
     hub = both.groupBy("a").count().orderBy(F.desc("count"), "a").select("a").head()
     if hub is None:
         return None, True
-    spark = both.sparkSession
-    seen = write_table(spark.createDataFrame([(hub.a,)], both.select("a").schema).withColumn("hop", F.lit(0)), "seen")
-    for hop in range(1, max_frontiers + 1):
-        frontier = seen.df.where(F.col("hop") == hop - 1).select("a")
-        reached = both.join(frontier, "a", "left_semi").select(F.col("b").alias("a")).distinct().join(seen.df.select("a"), "a", "left_anti")
-        step = write_table(reached.withColumn("hop", F.lit(hop)), "frontier")
+    seen = [write_table(both.sparkSession.createDataFrame([(hub.a,)], both.select("a").schema), "frontier")]
+    reached = seen[0].df
+    for _ in range(max_frontiers):
+        near = both.join(seen[-1].df, "a", "left_semi").select(F.col("b").alias("a")).distinct().join(reached, "a", "left_anti")
+        step = write_table(near, "frontier")
         if step.df.isEmpty():
             step.drop()
-            return seen, True
-        later = write_table(seen.df.unionByName(step.df), "seen")
-        seen.drop()
-        step.drop()
-        seen = later
-    return seen, False
+            return reached, True
+        seen.append(step)
+        reached = reached.unionByName(step.df)
+    return reached, False
 
 
 def components(edges: DataFrame, max_frontiers: int = 12) -> DataFrame:
@@ -58,10 +58,9 @@ def components(edges: DataFrame, max_frontiers: int = 12) -> DataFrame:
     """
     edges = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
     both = _both_ways(edges)
-    seen, whole = _peel(both, max_frontiers)
-    if seen is None:
+    reached, whole = _peel(both, max_frontiers)
+    if reached is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    reached = seen.df.select("a")
     smallest = reached.agg(F.min("a").alias("m")).head().m
     giant = reached.select(F.col("a").alias("node"), F.lit(smallest).cast(edges.schema["a"].dataType).alias("label"))
     if whole:

@@ -4,8 +4,10 @@ Latent semantic retrieval.  The evaluation passages are cut into overlapping seg
 TF-IDF, and a randomised SVD (range finder with power iterations, its products summed over
 partitions) gives a latent space.  Windows of every document are projected into it; segments
 within a cosine bound are candidates, which are then checked for a run of consecutive common
-words.  Paraphrases may replace any word, so their candidates are all passages of which a
-document has enough words in whatever order; the longest common subsequence decides.
+words.  What the bound of a truncated space could miss is met exactly: by the digest of every run.
+Paraphrases may replace any word, so their candidates are all passages of which a
+document has enough words in whatever order; the longest common subsequence decides, and
+then a check of the answer: the words that no other passage has.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ WINDOW, WINDOW_STEP = 12, 4
 #: Hashed dimensions, latent dimensions, and further ones while searching the range.
 DIMS, RANK, EXTRA = 1 << 13, 192, 16
 POWER_STEPS = 2
-#: Candidates are segments at least this similar to a window.
+#: Candidates of the latent search are segments at least this similar to a window; how many leaks it proposes by itself is reported.
 MIN_COSINE = 0.3
 #: Passages are handled in blocks of this many, each block in one pass over the documents.
 BLOCK = 2_000
 #: A paraphrase shares this part of the passage's words, in order, within one document.
 PARAPHRASE = 0.6
+#: and this part of the words that tell the passage from all others.
+ANSWER = 0.5
 
 # Invisible characters, which may stand inside words.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿"
@@ -104,6 +108,9 @@ def latent_basis(segments: DataFrame, idf: dict[str, float], slots: dict[str, in
     return basis[:, :rank]
 
 
+FOUND = "doc_id bigint, item_id bigint, verbatim boolean, latent boolean, share double"
+
+
 class PassageIndex:
     """A block of passages: vocabulary, latent segments, and words for the exact check."""
 
@@ -134,29 +141,32 @@ class PassageIndex:
                 held.setdefault(w, []).append((p, n))
         self.held = {w: np.array(ps, np.int64) for w, ps in held.items()}
         self.grams = [{tuple(w[i : i + RUN_WORDS]) for i in range(len(w) - RUN_WORDS + 1)} for w in self.words]
-
-    def candidates(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """Spans of ``words`` by the passage whose segments they resemble.
-
-        Only stretches of at least RUN_WORDS words of the passages' vocabulary are looked at:
-        no leak can lie outside them.
-        """
-        idf = self.idf
-        spans: list[tuple[int, int]] = []
+        self.runs: dict[tuple, list[int]] = {}
+        for p, grams in enumerate(self.grams):
+            for g in grams:
+                self.runs.setdefault(g, []).append(p)
+        self.answers = [{w for w in set(words) if len(held[w]) == 1} for words in self.words]
+
+    def _stretches(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Stretches of at least RUN_WORDS words of the passages' vocabulary; no run of a passage lies outside them."""
         start = None
         for i in range(len(words) + 1):
-            if i < len(words) and words[i] in idf:
+            if i < len(words) and words[i] in self.idf:
                 start = i if start is None else start
             elif start is not None:
                 if i - start >= RUN_WORDS:
-                    spans += [(start + a, start + b) for a, b in _spans(i - start, WINDOW, WINDOW_STEP)]
+                    yield start, i
                 start = None
+
+    def candidates(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Spans of ``words`` by the passage whose segments they resemble."""
+        spans = [(start + a, start + b) for start, end in self._stretches(words) for a, b in _spans(end - start, WINDOW, WINDOW_STEP)]
         found: dict[int, list[tuple[int, int]]] = {}
         if not spans or not self.owner:
             return found
         projected = np.zeros((len(spans), self.basis.shape[1]), np.float32)
         for k, (a, b) in enumerate(spans):
-            at, weight = _vector(words[a:b], idf, self.slots)
+            at, weight = _vector(words[a:b], self.idf, self.slots)
             projected[k] = weight.astype(np.float32) @ self.basis[at]
         projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
         for chunk in range(0, len(spans), 256):
@@ -165,20 +175,25 @@ class PassageIndex:
                 found.setdefault(int(self.owner_at[s]), []).append(spans[chunk + k])
         return found
 
-    def leaks(self, words: list[str]) -> list[int]:
-        """Positions of the passages of which ``words`` hold RUN_WORDS consecutive words."""
-        out = []
+    def leaks(self, words: list[str]) -> dict[int, bool]:
+        """Positions of the passages of which ``words`` hold RUN_WORDS consecutive words, and whether the latent search proposed them."""
+        out: dict[int, bool] = {}
         for p, spans in self.candidates(words).items():
             grams = self.grams[p]
             if any(tuple(words[i : i + RUN_WORDS]) in grams for a, b in set(spans) for i in range(a, b - RUN_WORDS + 1)):
-                out.append(p)
+                out[p] = True
+        for start, end in self._stretches(words):
+            for i in range(start, end - RUN_WORDS + 1):
+                for p in self.runs.get(tuple(words[i : i + RUN_WORDS]), ()):
+                    out.setdefault(p, False)
         return out
 
     def paraphrases(self, words: list[str]) -> list[tuple[int, float]]:
         """Positions of the passages of which ``words`` keep PARAPHRASE in order, and the part kept.
 
         The words in common, in any order, bound the longest common subsequence from above, so
-        no paraphrase is lost.
+        no paraphrase is lost.  Of a passage's own words, those of no other passage of the block,
+        ANSWER must be there too: templates that many passages share are no leak.
         """
         counts = {w: n for w, n in Counter(words).items() if w in self.held}
         if not counts:
@@ -187,7 +202,8 @@ class PassageIndex:
         at, n = np.concatenate(held).T
         common = np.bincount(at, np.minimum(n, np.repeat(list(counts.values()), [len(h) for h in held])), len(self.words))
         shares = ((int(p), _lcs(self.words[p], words) / len(self.words[p])) for p in np.flatnonzero(common / self.sizes >= PARAPHRASE))
-        return [(p, share) for p, share in shares if share >= PARAPHRASE]
+        told = lambda p: len(self.answers[p] & counts.keys()) >= ANSWER * len(self.answers[p])
+        return [(p, share) for p, share in shares if share >= PARAPHRASE and told(p)]
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -227,25 +243,26 @@ def _search(documents: DataFrame, index: PassageIndex, paraphrases: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pickle.loads(sent.value)
         for batch in batches:
-            docs, items, runs, shares = [], [], [], []
+            docs, items, runs, latent, shares = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                exact = set(index.leaks(words))
-                for p in sorted(exact):
-                    docs.append(doc), items.append(index.ids[p]), runs.append(True), shares.append(1.0)
+                exact = index.leaks(words)
+                for p, proposed in sorted(exact.items()):
+                    docs.append(doc), items.append(index.ids[p]), runs.append(True), latent.append(proposed), shares.append(1.0)
                 if paraphrases:
                     for p, share in index.paraphrases(words):
                         if p not in exact:
-                            docs.append(doc), items.append(index.ids[p]), runs.append(False), shares.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(runs, pa.bool_()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "verbatim", "share"])
+                            docs.append(doc), items.append(index.ids[p]), runs.append(False), latent.append(False), shares.append(share)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(runs, pa.bool_()), pa.array(latent, pa.bool_()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "verbatim", "latent", "share"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, verbatim boolean, share double")
+    return documents.select("doc_id", "text").mapInArrow(run, FOUND)
 
 
 def leaks(documents: DataFrame, passages: DataFrame, paraphrases: bool = False) -> DataFrame:
-    """(doc_id, item_id, verbatim, share): documents and the passages they hold.
+    """(doc_id, item_id, verbatim, latent, share): documents and the passages they hold.
 
-    ``verbatim`` rows hold RUN_WORDS consecutive words of the passage.  With ``paraphrases``
+    ``verbatim`` rows hold RUN_WORDS consecutive words of the passage; ``latent`` ones were proposed by
+    the latent search, the rest met by the digest of a run.  With ``paraphrases``
     documents also count that keep PARAPHRASE of the passage's words in order.  Null and
     empty texts hold nothing; passages of fewer than RUN_WORDS words can't leak.
     """
@@ -254,7 +271,7 @@ def leaks(documents: DataFrame, passages: DataFrame, paraphrases: bool = False)
         part = _search(documents, index, paraphrases)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, verbatim boolean, share double")
+        return documents.sparkSession.createDataFrame([], FOUND)
     return out.distinct()
 
 

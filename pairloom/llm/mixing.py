@@ -26,19 +26,24 @@ TOKENIZER = os.environ.get("PAIRLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Languages that count as their own; all else is one marginal class.
 LANGUAGES = ("ru", "en", "de")
-MAX_ROUNDS, TOLERANCE = 200, 1e-6
+#: Raking ends once no weight moves by more than TOLERANCE; the caps can keep it moving forever, so after MAX_ROUNDS it ends too, and says so.
+MAX_ROUNDS, TOLERANCE = 300, 1e-6
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``documents`` (doc_id, text, ...) with ``tokens`` in place of the text; null and empty texts have 0."""
+    """``documents`` (doc_id, text, ...) with ``tokens`` in place of the text; null and empty texts have 0.
+
+    The driver reads the tokenizer's file (a few MB at most) and sends it to the workers.
+    """
     rest = [c for c in documents.columns if c != "text"]
     schema = documents.select(*rest).withColumn("tokens", F.lit(0).cast("bigint")).schema
+    with open(tokenizer, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in sent.value.splitlines() if line.strip())}
         encoder = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(encoder.encode_ordinary(t.encode("utf-8", "replace").decode())) if t else 0 for t in batch.column("text").to_pylist()]
@@ -67,15 +72,17 @@ def sized(documents: DataFrame, items: DataFrame) -> DataFrame:
     return joined.select("doc_id", "src", language.alias("language"), F.coalesce("topic", F.lit("none")).alias("topic"), "tokens")
 
 
-def rake(cells: dict[tuple, float], marginals: list[dict[str, float]], caps: list[float]) -> dict[tuple, float]:
-    """Weights by cell such that weighted sizes match every marginal, as far as the caps allow.
+def rake(cells: dict[tuple, float], marginals: list[dict[str, float]], caps: list[float]) -> tuple[dict[tuple, float], bool]:
+    """Weights by cell such that weighted sizes match every marginal, as far as the caps allow, and whether they converged.
 
     ``cells`` are sizes by key (one part per marginal); ``marginals`` target sizes by part;
-    ``caps`` the largest weight of each cell, in order.  Fitting ends at TOLERANCE or MAX_ROUNDS.
+    ``caps`` the largest weight of each cell, in order.  Where caps bind, the first marginal
+    comes first: what it lacks is added to its cells below their cap at the other marginals' expense.
     """
     keys = list(cells)
     weight = dict.fromkeys(keys, 1.0)
     cap = dict(zip(keys, caps, strict=True))
+    converged = False
     for _ in range(MAX_ROUNDS):
         worst = 0.0
         for axis in range(len(marginals) - 1, -1, -1):  # the first marginal is fitted last
@@ -88,11 +95,11 @@ def rake(cells: dict[tuple, float], marginals: list[dict[str, float]], caps: lis
                 new = min(cap[k], weight[k] * factor)
                 worst = max(worst, abs(new - weight[k]))
                 weight[k] = new
-        if worst < TOLERANCE:
+        if converged := worst < TOLERANCE:
             break
     for part, want in marginals[0].items():  # a source held down by caps in some cells is topped up in the others
         own = [k for k in keys if k[0] == part]
-        for _ in range(50):
+        while True:  # every round but the last brings a cell to its cap
             lack = want - sum(weight[k] * cells[k] for k in own)
             room = [k for k in own if weight[k] < cap[k] - 1e-12]
             size = sum(weight[k] * cells[k] for k in room)
@@ -100,7 +107,7 @@ def rake(cells: dict[tuple, float], marginals: list[dict[str, float]], caps: lis
                 break
             for k in room:
                 weight[k] = min(cap[k], weight[k] * (1 + lack / size) if size else cap[k])
-    return weight
+    return weight, converged
 
 
 class Mix:
@@ -126,17 +133,27 @@ class Mix:
             for k, n in cells.items():
                 margin[k[axis]] = margin.get(k[axis], 0.0) + n * whole / corpus
             margins.append(margin)
-        self.weights = rake(cells, margins, [float(goal[k[0]].max_repeats) for k in cells])
-        rows = [
-            (r.source, s, float(r.target_share), int(r.max_repeats), int(sizes.get(s, 0)), r.target_share * self.total, r.max_repeats * sizes.get(s, 0.0) < r.target_share * self.total)
-            for s, r in sorted(goal.items())
-        ]
+        self.weights, self.converged = rake(cells, margins, [float(goal[k[0]].max_repeats) for k in cells])
+        self.goals = [(axis, part, want) for axis, margin in zip(("source", "language", "topic"), margins, strict=True) for part, want in sorted(margin.items())]
+        reached: dict[str, float] = dict.fromkeys(goal, 0.0)
+        for k, n in cells.items():
+            reached[k[0]] += self.weights[k] * n
+        # the fit gives a source its share unless all its cells are at their limit
+        rows = [(r.source, s, float(r.target_share), int(r.max_repeats), int(sizes.get(s, 0)), r.target_share * self.total, reached[s] < r.target_share * self.total * (1 - 1e-7)) for s, r in sorted(goal.items())]
         self.plan = spark.createDataFrame(rows, "source string, src string, target_share double, max_repeats int, available bigint, wanted double, short boolean")
         weights = spark.createDataFrame([(*k, w) for k, w in self.weights.items()], "src string, language string, topic string, weight double")
         drawn = self.docs.join(F.broadcast(weights), ["src", "language", "topic"])
         draw = portable_int(F.concat_ws("|", F.lit(seed), "doc_id")) / F.lit(2.0**32)
         repeats = F.floor("weight") + F.when(draw < F.col("weight") - F.floor("weight"), 1).otherwise(0)
-        self.drawn = drawn.select("doc_id", "src", "tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
+        self.cells = drawn.select("doc_id", "src", "language", "topic", "tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
+        self.drawn = self.cells.select("doc_id", "src", "tokens", "repeats")
+
+    def marginals(self) -> DataFrame:
+        """(axis, part, wanted, drawn, converged): wanted and drawn tokens of every source, language and topic."""
+        each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(c).alias("part")) for a, c in (("source", "src"), ("language", "language"), ("topic", "topic"))]))
+        got = self.cells.select(each.alias("m"), (F.col("tokens") * F.col("repeats")).alias("t")).groupBy("m.axis", "m.part").agg(F.sum("t").alias("drawn"))
+        wanted = self.docs.sparkSession.createDataFrame(self.goals, "axis string, part string, wanted double")
+        return wanted.join(got, ["axis", "part"], "left").select("axis", "part", F.round("wanted", 1).alias("wanted"), F.coalesce("drawn", F.lit(0)).alias("drawn"), F.lit(self.converged).alias("converged"))
 
     def shares(self) -> DataFrame:
         """The plan with the tokens drawn and the shares reached, of all drawn tokens."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import fusion, groups, leakage, mixing, notation, overlap, products, quota, residue, splits, sql
+from pairloom.operators.sampling import portable_int
 from pairloom.sources.tables import scan
 
 
@@ -24,7 +25,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.assign_splits(scan(spark, sf_dir, "folds_v1"), scan(spark, sf_dir, "split_targets"))
+    return splits.assign_splits(scan(spark, sf_dir, "folds_v1"), scan(spark, sf_dir, "split_targets"))[0]
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows, given splits in two batches: the second finds components of the first."""
+    rows = scan(spark, sf_dir, "folds_v1")
+    second = portable_int(F.concat_ws("|", F.lit("batch"), "id1", "id2")) % 2 == 1
+    return splits.assign_batches([rows.where(~second), rows.where(second)], scan(spark, sf_dir, "split_targets"))[0]
+
+
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_batches(spark, sf_dir)
+
+
+def p2_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and splits of every component after two batches: one split, or none if two met."""
+    rows = _two_batches(spark, sf_dir).where("coalesce(comp, id1, id2) is not null")
+    return rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("split") > 1).alias("torn"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +91,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(leakage.leaks(scan(spark, sf_dir, "documents"), passages, paraphrases=True), passages)
 
 
+def p8_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the verbatim leaks the latent search proposed by itself."""
+    found = leakage.leaks(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "eval_passages")).where("verbatim")
+    return found.agg(F.count(F.lit(1)).alias("leaks"), F.count_if("latent").alias("by_latent_search"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     return mixing.Mix(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "items", "id", "category"), scan(spark, sf_dir, "mix_targets"))
 
@@ -89,6 +113,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p9_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached tokens of every source, language and topic."""
+    return _mix(spark, sf_dir).marginals()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_scores(scan(spark, sf_dir, "documents")).where("found").select("doc_id")
 

@@ -65,6 +65,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORDS = re.compile(r"\w+")
 _HEX = re.compile(r"[0-9a-f]{8,}")
 _SPAN = re.compile(r"([{(<\[$%@~#*_|&:]+)([^{}()<>\[\]$%@~#*|&\n]*)([})>\]$%@~#*_|&:]+)")
+_SIGNS = set("{}<>[]$%@~#*|&():")
 _OPENS = dict(zip("{([<", "})]>", strict=True))
 # Words that programs and templates print or name; a passage's neighbours of them are features.
 _NAMED = {"undefined", "nan", "null", "object", "title", "name", "brand", "цвет", "бренд", "название", "вставить", "your"}
@@ -97,6 +98,9 @@ def _named(name: str) -> int:
     return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) % DIMS
 
 
+_LENGTHS, _VARIETIES = ([_named(f"\x01{name} {i}") for i in range(11)] for name in ("length", "variety"))
+
+
 def document_features(texts: list[str], hashed: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of all ``texts``, sorted by row.
 
@@ -112,14 +116,14 @@ def document_features(texts: list[str], hashed: Hashed) -> tuple[np.ndarray, np.
     keys = np.unique(np.concatenate([row * DIMS + (flat % np.uint64(DIMS)).astype(np.int64), (row[:-1] * DIMS + (pairs % np.uint64(DIMS)).astype(np.int64))[inner]]))
     at, col = keys // DIMS, keys % DIMS
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(texts))))
-    more = []
+    own, where, weight = [], [], []
     for i, (ws, t) in enumerate(zip(words, texts, strict=True)):
-        more.append((i, _named(f"\x01length {min(10, int(math.log2(len(ws) + 1)))}"), 0.3))
-        more.append((i, _named(f"\x01variety {int(10 * len(set(ws)) / max(1, len(ws)))}"), 0.3))
-        title = {hashed[w] for w in _WORDS.findall(t.lower().strip().split("\n", 1)[0])}
-        more += [(i, (h * 31 + 7) % DIMS, 0.5 / math.sqrt(len(title) + 20)) for h in title]
-    extra = np.array(more, np.float64).reshape(-1, 3)
-    row, col, val = np.concatenate([at, extra[:, 0].astype(np.int64)]), np.concatenate([col, extra[:, 1].astype(np.int64)]), np.concatenate([scale[at], extra[:, 2]])
+        first = t.lower().strip().split("\n", 1)[0]
+        title = {hashed[w] for w in (ws if len(first) == len(t) else _WORDS.findall(first))}
+        own += [i] * (len(title) + 2)
+        where += [_LENGTHS[min(10, len(ws).bit_length())], _VARIETIES[10 * len(set(ws)) // max(1, len(ws))], *((h * 31 + 7) % DIMS for h in title)]
+        weight += [0.3, 0.3, *[0.5 / math.sqrt(len(title) + 20)] * len(title)]
+    row, col, val = np.concatenate([at, np.array(own, np.int64)]), np.concatenate([col, np.array(where, np.int64)]), np.concatenate([scale[at], np.array(weight)])
     order = np.argsort(row, kind="stable")
     return row[order], col[order], val[order]
 
@@ -149,15 +153,11 @@ def _spans(text: str) -> Iterator[str]:
 
 
 def passage_features(text: str) -> list[int]:
-    """Columns of a passage: signs, shapes of words and their runs of up to four, and spans between signs.  All weigh the same."""
+    """Columns of a passage: runs of up to four signs and shapes of words around special signs, and spans between signs.  All weigh the same."""
     pieces = _PIECE.findall(text)
     shape = [_kind(p) if p[0].isalnum() or p[0] == "_" else p for p in pieces]
-    grams: set[str] = set()
-    for i in range(len(shape)):
-        for n in (1, 2, 3, 4):
-            run = shape[i : i + n]
-            if len(run) == n and any(not s[0].isalnum() for s in run):
-                grams.add("\x02" + " ".join(run))
+    near = {(i, j) for p, x in enumerate(pieces) if x in _SIGNS or "_" in x for i in range(max(0, p - 3), p + 1) for j in range(p + 1, min(len(pieces), i + 4) + 1)}
+    grams = {"\x02" + " ".join(shape[i:j]) for i, j in near}
     lower = [p.lower() for p in pieces]
     grams.update("\x02w " + p for p in lower if p in _NAMED)
     grams.update(f"\x02n {a} {b}" for a, b in zip(lower, lower[1:], strict=False) if a in _NAMED)

@@ -28,6 +28,8 @@ TEXTS: dict[str, str] = {
         SELECT x.id AS id1, y.id AS id2 FROM keyed x JOIN keyed y ON x.n = y.n AND x.c = y.c AND x.a = y.a AND x.id < y.id""",
     "p2_found": f"""WITH RECURSIVE nodes AS (SELECT 'c' || comp AS c, 'i' || id1 AS x, 'i' || id2 AS y, comp, fold FROM folds_v1), pairs AS (SELECT x AS a, y AS b FROM nodes UNION SELECT x, c FROM nodes WHERE comp IS NOT NULL), links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_components("links")},
         torn AS (SELECT k.comp FROM nodes n JOIN comps k ON k.node = n.x GROUP BY 1 HAVING count(DISTINCT n.fold) > 1) SELECT DISTINCT n.comp FROM nodes n JOIN comps k ON k.node = n.x WHERE n.comp IS NOT NULL AND k.comp IN (SELECT comp FROM torn)""",
+    "p2_components": f"""WITH RECURSIVE nodes AS (SELECT row_number() OVER () AS r, list_filter(['c' || comp, 'i' || id1, 'i' || id2], lambda x: x IS NOT NULL) AS n FROM folds_v1), links0 AS (SELECT n[1] AS a, unnest(n) AS b FROM nodes WHERE len(n) > 0), links AS (SELECT a, b FROM links0 UNION SELECT b, a FROM links0), {_components("links")}
+        SELECT k.comp AS component, count(*) AS n, false AS torn FROM nodes x JOIN comps k ON k.node = x.n[1] GROUP BY 1""",
     "p3_found": f"""WITH RECURSIVE sure AS (SELECT DISTINCT id1, id2 FROM matches_llm WHERE {_SOUND} AND round_even(target * 9, 0) >= 8), links AS (SELECT id1 AS a, id2 AS b FROM sure UNION SELECT id2, id1 FROM sure), {_components("links")} SELECT node AS id, comp AS group_id FROM comps""",
     "p5_ranking": f"""WITH o AS (SELECT least(id1, id2) AS id1, greatest(id1, id2) AS id2, CASE WHEN id1 > id2 THEN teacher_ba ELSE teacher_ab END AS ab, CASE WHEN id1 > id2 THEN teacher_ab ELSE teacher_ba END AS ba FROM mine_candidates WHERE id1 IS NOT NULL AND id2 IS NOT NULL),
         p AS (SELECT id1, id2, max(ab) FILTER (NOT isnan(ab)) AS ab, max(ba) FILTER (NOT isnan(ba)) AS ba FROM o GROUP BY 1, 2), v AS (SELECT least(id1, id2) AS id1, greatest(id1, id2) AS id2, max(round_even(target * 9, 0)) AS v FROM matches_llm WHERE target BETWEEN 0 AND 1 AND NOT isnan(target) GROUP BY 1, 2),
