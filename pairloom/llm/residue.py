@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,14 @@ COVER = 0.3
 #: A text of at least so many words, of which at most this part are distinct, is filler.
 MONOTONE_WORDS, MONOTONE_PART = 20, 0.5
 #: Scores from which a text is a message, and a passage a slot.
-MESSAGE, SLOT = 0.5, 0.5
+MESSAGE, SLOT = 0.5, 0.6
 #: One source in so many is kept for validation.
 HELD_OUT = 4
 
 # Phrases of status pages, script demands, access checks and filler.
 PHRASES = [
     r"javascript", r"включите скрипт\w*", r"скрипты отключены", r"разрешите выполнение скриптов", r"нужны скрипты", r"scripts? (?:is|are) required", r"enable (?:client-side )?scripting", r"turn on scripts", r"ohne skripte", r"без js\b", r"поддержк\w+ js\b", r"noscript", r"не поддерживает скрипты",
-    r"\b(?:error|ошибка|http|code|ответил) ?[45]\d\d\b", r"\b[45]\d\d (?:bad gateway|not found|forbidden|internal|service|gateway)\b", r"bad gateway", r"internal server error", r"gateway timeout", r"page not found", r"страница не найдена", r"seite nicht gefunden", r"service unavailable", r"nicht verfügbar", r"временно недоступ\w+", r"could not be loaded", r"не удалось загрузить", r"не загрузил\w+", r"ошибка соединения", r"время ожидания", r"что-то пошло не так", r"traceback \(most recent", r"\w+exception at", r"keyerror", r"fatal:",
+    r"\b(?:error|ошибка|http|code|ответил) ?[45]\d\d\b", r"\b[45]\d\d (?:bad gateway|not found|forbidden|internal|service|gateway)\b", r"bad gateway", r"internal server error", r"gateway timeout", r"page not found", r"страница не найдена", r"seite nicht gefunden", r"service unavailable", r"nicht verfügbar", r"временно недоступ\w+", r"could not be loaded", r"не удалось загрузить", r"не загрузил\w+", r"ошибка соединения", r"время ожидания", r"технически\w+ работ\w+", r"under maintenance", r"wartungsarbeiten", r"что-то пошло не так", r"не найден[аоы]?\b", r"not found", r"nicht gefunden", r"проверьте адрес", r"check the address", r"товар удал[её]н", r"скрыт продавцом", r"has been removed", r"no longer available", r"wurde entfernt", r"вернуться (?:в каталог|назад)", r"liegt keine antwort vor", r"fehler [45]\d\d", r"traceback \(most recent", r"\w+exception at", r"keyerror", r"fatal:",
     r"access denied", r"доступ ограничен", r"доступ запрещ\w+", r"сессия истекла", r"не робот", r"слишком много запросов", r"превышен лимит", r"request id [0-9a-f]+", r"запрос [0-9a-f]{8,}", r"код события [0-9a-f]{8,}", r"ничего нет: [0-9a-f]+",
     r"lorem ipsum", r"ваш текст", r"пример текста", r"placeholder copy", r"текст-заглушка", r"sample description", r"coming soon", r"рыба-текст", r"фыва олдж", r"xxx xxx", r"нет описания", r"без текста", r"описание будет добавлено", r"скоро появится", r"в разработке", r"не публиковать", r"абвгд", r"qwe asd", r"hier steht", r"заполните это поле", r"replace before launch", r"обновите страницу",
 ]
@@ -63,6 +64,7 @@ _SPECIAL = re.compile(r"[{}<>\[\]$%@~#*_|&]|\(\(|\)\)|:\w+:|undefined|nan|null|o
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORDS = re.compile(r"\w+")
+_TITLE = re.compile(r"\s*[^.!?\n]*")
 _HEX = re.compile(r"[0-9a-f]{8,}")
 _SPAN = re.compile(r"([{(<\[$%@~#*_|&:]+)([^{}()<>\[\]$%@~#*|&\n]*)([})>\]$%@~#*_|&:]+)")
 _SIGNS = set("{}<>[]$%@~#*|&():")
@@ -102,14 +104,14 @@ _LENGTHS, _VARIETIES = ([_named(f"\x01{name} {i}") for i in range(11)] for name
 
 
 def document_features(texts: list[str], hashed: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, value) of all ``texts``, sorted by row.
+    """(row, column, value) of all ``texts``, in no order.
 
     Distinct hashed words and word pairs of the whole text (norm 1), its length and variety, and
-    the words of its first line as title.  Words are hashed once; pairs are hashed as arrays.
+    the words of its first sentence as title.  Words are hashed once; pairs are hashed as arrays.
     """
     words = [_WORDS.findall(t.lower()) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((hashed[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    flat = np.fromiter(map(hashed.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
     row = np.repeat(np.arange(len(texts)), sizes)
     pairs = (flat[:-1] * np.uint64(0x9E3779B1) + flat[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
     inner = row[:-1] == row[1:]
@@ -118,14 +120,11 @@ def document_features(texts: list[str], hashed: Hashed) -> tuple[np.ndarray, np.
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(texts))))
     own, where, weight = [], [], []
     for i, (ws, t) in enumerate(zip(words, texts, strict=True)):
-        first = t.lower().strip().split("\n", 1)[0]
-        title = {hashed[w] for w in (ws if len(first) == len(t) else _WORDS.findall(first))}
+        title = {hashed[w] for w in ws[: len(_WORDS.findall(_TITLE.match(t).group()))]}
         own += [i] * (len(title) + 2)
         where += [_LENGTHS[min(10, len(ws).bit_length())], _VARIETIES[10 * len(set(ws)) // max(1, len(ws))], *((h * 31 + 7) % DIMS for h in title)]
         weight += [0.3, 0.3, *[0.5 / math.sqrt(len(title) + 20)] * len(title)]
-    row, col, val = np.concatenate([at, np.array(own, np.int64)]), np.concatenate([col, np.array(where, np.int64)]), np.concatenate([scale[at], np.array(weight)])
-    order = np.argsort(row, kind="stable")
-    return row[order], col[order], val[order]
+    return np.concatenate([at, np.array(own, np.int64)]), np.concatenate([col, np.array(where, np.int64)]), np.concatenate([scale[at], np.array(weight)])
 
 
 def _kind(word: str) -> str:
@@ -227,6 +226,8 @@ def _labels(documents: DataFrame) -> DataFrame:
             known = [(src, text, weak_label(text)) for src, text in zip(batch.column("src").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             judged = [(src, text, label) for src, text, label in known if label is not None]
             row, col, val = document_features([text for _, text, _ in judged], hashed)
+            order = np.argsort(row, kind="stable")
+            row, col, val = row[order], col[order], val[order]
             edges = np.searchsorted(row, np.arange(len(judged) + 1))
             rows = []
             for i, (src, text, label) in enumerate(judged):
