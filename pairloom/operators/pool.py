@@ -11,6 +11,7 @@ from pairloom.functions import scores as S
 from pairloom.functions import text as T
 from pairloom.operators import pairs as P
 from pairloom.operators.metrics import average_precision, macro_average_precision
+from pairloom.operators.ranking import exact_quantiles
 from pairloom.operators.sampling import hash_sample, random_key, smallest_per_group
 from pairloom.sources.tables import scan
 from pairloom.workspace import cut
@@ -60,19 +61,19 @@ def holdout(rows: DataFrame, target: int, pos_share: float = 0.1) -> DataFrame:
     counts = rows.groupBy("category").agg(F.count_if(F.expr("label = 0")).alias("_neg"))
     most = F.floor(F.col("_neg") * F.lit(pos_share) / F.lit(1 - pos_share) + 1e-9)
     quota = F.when(F.col("label") == 1, most).otherwise(F.col("_neg")).cast("bigint")
-    thinned = cut(smallest_per_group(rows.join(F.broadcast(counts), "category").withColumn("_quota", quota), ["category", "label"], "key", "_quota").drop("_neg", "_quota"), "thinned")
+    thinned = cut(smallest_per_group(rows.join(counts, "category").withColumn("_quota", quota), ["category", "label"], "key", "_quota").drop("_neg", "_quota"), "thinned")
     n = thinned.count()
     if n <= target:
         return thinned
     sizes = thinned.groupBy("category").agg(F.count(F.lit(1)).alias("_n")).withColumn("_quota", F.floor(F.col("_n") * target / n).cast("bigint"))
-    return smallest_per_group(thinned.join(F.broadcast(sizes), "category"), ["category"], "key", "_quota").drop("_n", "_quota")
+    return smallest_per_group(thinned.join(sizes, "category"), ["category"], "key", "_quota").drop("_n", "_quota")
 
 
 def variance_weights(rows: DataFrame, name: str, target: str = "target") -> DataFrame:
     """``rows`` with inverse-variance weights, divided by their median and clipped to 0.4..2."""
     raw = rows.withColumn("_w", S.inverse_variance(F.col(target)))
-    middle = raw.agg(F.median("_w").alias("_m"))
-    return raw.join(F.broadcast(middle)).withColumn(name, S.clip(F.col("_w") / F.col("_m"), 0.4, 2.0)).drop("_w", "_m")
+    (middle,) = exact_quantiles(raw, F.col("_w"), [0.5])
+    return raw.withColumn(name, S.clip(F.col("_w") / F.lit(middle).cast("double"), 0.4, 2.0)).drop("_w")
 
 
 def banned_cards(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

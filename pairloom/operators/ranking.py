@@ -52,6 +52,27 @@ def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return cumulative(df, order, F.lit(1).cast("bigint"), name)
 
 
+def exact_quantiles(df: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
+    """The exact quantiles of ``value`` at ``shares``, interpolated between neighbours; None for a table without values.
+
+    Values are counted and their counts summed over range partitions; no task holds all of them.
+    """
+    counts = df.select(value.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = cut(cumulative(counts, [F.col("_v")], F.col("_n"), "_upto"), "quantiles")
+    total = upto.agg(F.max("_upto").alias("n")).head().n
+    if not total:
+        return [None] * len(shares)
+    places = sorted({p for s in shares for p in (int(s * (total - 1)), min(total - 1, int(s * (total - 1)) + 1))})
+    at = upto.where(" or ".join(f"(_upto - _n <= {p} and _upto > {p})" for p in places)).select("_v", (F.col("_upto") - F.col("_n")).alias("lo"), F.col("_upto").alias("hi")).collect()  # two rows a quantile at most
+    found = {p: next(float(r._v) for r in at if r.lo <= p < r.hi) for p in places}
+    out = []
+    for s in shares:
+        low = int(s * (total - 1))
+        part = s * (total - 1) - low
+        out.append(found[low] + part * (found[min(total - 1, low + 1)] - found[low]))
+    return out
+
+
 def competition_rank(df: DataFrame, score: str, name: str, descending: bool = True) -> DataFrame:
     """``df`` with ``name``: 1 + the number of rows with a better ``score``; equal scores share a rank.
 

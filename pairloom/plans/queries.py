@@ -18,7 +18,7 @@ from pairloom.operators import pairs as P
 from pairloom.operators import pool as L
 from pairloom.operators import quotas as Q
 from pairloom.operators import scoring as R
-from pairloom.operators.ranking import ordinal
+from pairloom.operators.ranking import exact_quantiles, ordinal
 from pairloom.operators.sampling import hash_sample, portable_int, random_key, smallest_per_group
 from pairloom.sources.tables import scan
 from pairloom.workspace import cut
@@ -477,7 +477,9 @@ def q_pool_summary(s, d):
 
 @query
 def q_length_percentiles(s, d):
-    return texts(s, d, TRAIN_CAP).select(F.length("text").alias("n")).agg(F.round(F.expr("percentile(n, 0.5)"), 6).alias("p50"), F.round(F.expr("percentile(n, 0.99)"), 6).alias("p99"), F.max("n").alias("longest"))
+    n = cut(texts(s, d, TRAIN_CAP).select(F.length("text").alias("n")), "lengths")
+    p50, p99 = exact_quantiles(n, F.col("n"), [0.5, 0.99])
+    return n.agg(F.round(F.lit(p50).cast("double"), 6).alias("p50"), F.round(F.lit(p99).cast("double"), 6).alias("p99"), F.max("n").alias("longest"))
 
 
 @query
@@ -641,7 +643,7 @@ def ordinal_batches(keyed: DataFrame, size: int) -> DataFrame:
     """(category, batch, n): batches of one category each, in random order."""
     placed = ordinal(keyed, [F.col("category"), F.col("key")], "at")
     first = placed.groupBy("category").agg(F.min("at").alias("first"))
-    numbered = placed.join(F.broadcast(first), "category").withColumn("batch", F.floor((F.col("at") - F.col("first")) / size))
+    numbered = placed.join(first, "category").withColumn("batch", F.floor((F.col("at") - F.col("first")) / size))
     return numbered.groupBy("category", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 

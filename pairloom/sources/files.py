@@ -91,11 +91,18 @@ def package(files: dict[str, str], target: str, required: list[str], forbidden:
 
 
 def split_write(df: DataFrame, accepted: str, path: str) -> dict[str, int]:
-    """Accepted and other rows as two tables; both are read back and counted against the input."""
+    """Accepted and other rows as two tables; both are read back and compared with the input by count and content.
+
+    The content is the sum of a 64-bit hash of every row, so order and partitioning don't matter.
+    """
     spark = df.sparkSession
-    write_parquet(df.where(accepted), f"{path}/accepted")
-    write_parquet(df.where(f"not coalesce({accepted}, false)"), f"{path}/adjudication")
-    counts = {k: spark.read.parquet(f"{path}/{k}").count() for k in ("accepted", "adjudication")}
-    if sum(counts.values()) != (n := df.count()):
-        raise RuntimeError(f"wrote {counts}, input has {n} rows")
-    return counts
+    chosen = F.coalesce(F.expr(accepted), F.lit(False))
+    write_parquet(df.where(chosen), f"{path}/accepted")
+    write_parquet(df.where(~chosen), f"{path}/adjudication")
+    digest = F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("digest")
+    of = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), digest).head()
+    back = {k: of(spark.read.parquet(f"{path}/{k}")) for k in ("accepted", "adjudication")}
+    want = {k: of(df.where(c)) for k, c in (("accepted", chosen), ("adjudication", ~chosen))}
+    if wrong := [k for k in back if back[k] != want[k]]:
+        raise RuntimeError(f"read back of {wrong}: {back}, input has {want}")
+    return {k: r.n for k, r in back.items()}

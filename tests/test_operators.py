@@ -14,7 +14,7 @@ from pairloom.operators import pairs as P
 from pairloom.operators import pool as L
 from pairloom.operators import quotas as Q
 from pairloom.operators import scoring as R
-from pairloom.operators.ranking import competition_rank, ordinal
+from pairloom.operators.ranking import competition_rank, exact_quantiles, ordinal
 from pairloom.operators.sampling import largest_remainder, random_key, shuffled, smallest_per_group, top_per_group
 
 PAIRS = "id1 bigint, id2 bigint"
@@ -366,3 +366,15 @@ def test_rank_loss_of_rounded_scores(spark):
     df = spark.createDataFrame([("g", rnd.random(), i % 2) for i in range(200)], "g string, s double, y int")
     exact, rounded = (L.rank_loss(df, "g", "s", "y", digits).head().loss for digits in (None, 3))
     assert abs(exact - rounded) < 1e-3
+
+
+def test_exact_quantiles(spark):
+    import statistics
+
+    rnd = random.Random(2)
+    for n in (1, 2, 7, 200):
+        values = [rnd.choice([rnd.random(), 0.5]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        low, middle, high = exact_quantiles(df, F.col("v"), [0.0, 0.5, 1.0])
+        assert (low, high) == (min(values), max(values)) and middle == pytest.approx(statistics.median(values))
+    assert exact_quantiles(df.where("false"), F.col("v"), [0.5]) == [None]
