@@ -51,7 +51,7 @@ def chunks(fields: list[str]) -> list[list[str]]:
     if not len(codes):
         return [[] for _ in fields]
     rolled = np.zeros(len(codes), np.uint32)
-    for k in range(WINDOW):  # the polynomial of the window, one character at a time
+    for k in range(WINDOW if len(codes) >= WINDOW else 0):  # the polynomial of the window, one character at a time
         rolled *= _BASE
         rolled[WINDOW - 1 :] += codes[k : len(codes) - WINDOW + 1 + k]
     rolled ^= rolled >> np.uint32(15)

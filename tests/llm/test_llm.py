@@ -151,7 +151,7 @@ def test_known_splits_are_kept_and_conflicts_quarantined(spark):
     got = {r.id1: r.split for r in done.collect()}
     assert got[1] == "test" and got[3] is None and got[4] is None and got[9] == "train"
     assert {r.node for r in state.quarantined().collect()} == {"i3", "i33", "i4", "i5", "c2", "c3"}
-    assert state.sizes.agg(F.sum("n")).head()[0] == 10 and state.nodes.select("node").distinct().count() == state.nodes.count() == 11
+    assert state.sizes.agg(F.sum("n")).head()[0] == 10 and state.nodes.select("node").distinct().count() == state.nodes.count() == 12
 
 
 def test_deficits_count_all_batches(spark, tmp_path):
