@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from pairloom.llm.notation import fold
-from pairloom.workspace import cut, write_table
+from pairloom.workspace import Table, cut, write_table
 
 # Attribute names by the fact they state.
 KEY_FACTS = {
@@ -386,13 +386,13 @@ def _with_hints(rows: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(found, (rows.id == F.col("_id")) & (rows.name == F.col("_name")), "left").drop("_id", "_name")
 
 
-def read_cards(cards: DataFrame, further: Callable | None = None, schema: str = "", sent: int = SENT_WORDS) -> DataFrame:
+def read_cards(cards: DataFrame, further: Callable | None = None, schema: str = "", sent: int = SENT_WORDS) -> Table:
     """One thin row (CARD, and the columns of ``schema``) per row of ``cards`` (id, name, category, attributes) with an id.
 
     ``bare`` is a digest of the whole record, for cards that state neither two identity
     words nor a code; ``fact`` a digest of all facts.  Null or broken columns read as nothing
     stated.  ``further`` is as in ``stated``.  Known words beyond ``sent`` are joined to the
-    cards by their spelling, not sent, with the same result.  The result is a written table.
+    cards by their spelling, not sent, with the same result.
     """
     source = write_table(stated(cards, further, schema), "stated")
     table, words = source.df, cut(learned(source.df), "lexicon")
@@ -419,6 +419,6 @@ def read_cards(cards: DataFrame, further: Callable | None = None, schema: str =
             arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 8, list(target)[1:9], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, *(batch.column(c) for c in own)], schema=target)
 
-    done = cut(rows.mapInArrow(run, whole), "cards")
+    done = write_table(rows.mapInArrow(run, whole), "cards")
     source.drop()
     return done

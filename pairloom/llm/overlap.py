@@ -108,13 +108,16 @@ def chunked(cards: DataFrame) -> DataFrame:
 
     ``names`` are the digests of brand and line words and of the code, odd for the code; they are chunks as well.
     """
-    known = read_cards(cards.withColumn("category", F.lit(None).cast("string")), _record_chunks, CHUNK_SCHEMA)
+    source = read_cards(cards.withColumn("category", F.lit(None).cast("string")), _record_chunks, CHUNK_SCHEMA)
     even = lambda x: F.shiftleft(F.xxhash64(x), 1)
     names = F.concat(F.transform("ident", even), F.transform(F.array_compact(F.array(F.concat(F.lit("c"), F.col("code")))), lambda x: even(x) + 1))
     size = lambda t: F.transform(t, lambda x: F.length(x))
-    return known.select(
+    rows = source.df.select(
         "side", "id", F.concat("chunks", names).alias("chunks"), F.concat("sizes", size("ident"), size(F.array_compact(F.array("code")))).alias("sizes"), names.alias("names"), "ident", _facts().alias("facts"),
     )
+    done = cut(rows, "chunks")
+    source.drop()
+    return done
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
@@ -176,7 +179,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """
     # one reading of both sides: what either teaches about words holds for both
     sided = lambda df, s: df.select(F.lit(s).alias("side"), "id", "name", "attributes")
-    both = cut(chunked(sided(evaluation, 1).unionByName(sided(training, 2))).where(F.size("chunks") > 0), "chunks")
+    both = chunked(sided(evaluation, 1).unionByName(sided(training, 2))).where(F.size("chunks") > 0)
     left, right = both.where("side = 1"), both.where("side = 2")
     # only chunks that both sides have can be shared; their rarity is counted over both
     seen = both.select("side", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))

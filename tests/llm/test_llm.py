@@ -211,7 +211,7 @@ UNLISTED = [
 @pytest.mark.parametrize("sent", [100_000, 0])
 def test_what_no_list_names_is_learned(spark, sent):
     rows = [*UNLISTED, (50, "Fabo Lindo кувшин золотая ABCD-123456 12 oz 3 pcs", "Посуда", None), (51, "кувшин хаки AB-1234 Fabob", "Посуда", "{}"), (52, "Fabo Lindo кувщин", "Посуда", None)]
-    got = {r.id: r for r in cards.read_cards(card_table(spark, rows), sent=sent).collect()}
+    got = {r.id: r for r in cards.read_cards(card_table(spark, rows), sent=sent).df.collect()}
     assert (got[50].ident, got[50].code, got[50].colour, got[50].dim, got[50].amount, got[50].pack) == (["fabo", "lindo"], "abcd123456", "золот", "oz", 12.0, 3)
     assert (got[51].ident, got[51].code, got[51].colour) == (["fabob"], "ab1234", "хаки")
     assert got[52].ident == ["fabo", "lindo"]  # a misspelt word of a kind is none of the article
