@@ -35,10 +35,6 @@ def _two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_batches([rows.where(~second), rows.where(second)], scan(spark, sf_dir, "split_targets"))[0]
 
 
-def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _two_batches(spark, sf_dir)
-
-
 def p2_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and splits of every component after two batches: one split, or none if two met."""
     rows = _two_batches(spark, sf_dir).where("coalesce(comp, id1, id2) is not null")

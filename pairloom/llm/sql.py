@@ -21,11 +21,14 @@ def _components(links: str) -> str:
 _RRF = " + ".join(f"coalesce(1.0::double / (60.0::double + {r}), 0.0)" for r in ("ra", "rb", "rv"))
 _VISIBLE = INVISIBLE.replace("'", "''")
 
-TEXTS: dict[str, str] = {
-    "p1_found": f"""WITH cards AS (SELECT id, any_value(name) AS name, any_value(category) AS category, any_value(attributes) AS attributes FROM items WHERE id IS NOT NULL GROUP BY 1),
+_KEYED = f"""WITH cards AS (SELECT id, any_value(name) AS name, any_value(category) AS category, any_value(attributes) AS attributes FROM items WHERE id IS NOT NULL GROUP BY 1),
         keyed AS (SELECT id, {_fold("coalesce(name, '')")} AS n, {_fold("coalesce(category, '')")} AS c, CASE WHEN json_valid(attributes) AND json_type(attributes) = 'OBJECT'
-        THEN array_to_string(list_sort(list_distinct(list_transform(map_entries(json_transform(attributes, '"MAP(VARCHAR, VARCHAR)"')), lambda e: {_fold("e.key")} || chr(1) || {_fold("coalesce(e.value, 'null')")}))), chr(3)) ELSE coalesce(chr(4) || nullif({_fold("attributes")}, ''), '') END AS a FROM cards)
+        THEN array_to_string(list_sort(list_distinct(list_transform(map_entries(json_transform(attributes, '"MAP(VARCHAR, VARCHAR)"')), lambda e: {_fold("e.key")} || chr(1) || {_fold("coalesce(e.value, 'null')")}))), chr(3)) ELSE coalesce(chr(4) || nullif({_fold("attributes")}, ''), '') END AS a FROM cards)"""
+
+TEXTS: dict[str, str] = {
+    "p1_found": f"""{_KEYED}
         SELECT x.id AS id1, y.id AS id2 FROM keyed x JOIN keyed y ON x.n = y.n AND x.c = y.c AND x.a = y.a AND x.id < y.id""",
+    "p1_collapsed": f"{_KEYED} SELECT min(id) AS class_id, count(*) AS copies FROM keyed GROUP BY n, c, a",
     "p2_found": f"""WITH RECURSIVE nodes AS (SELECT 'c' || comp AS c, 'i' || id1 AS x, 'i' || id2 AS y, comp, fold FROM folds_v1), pairs AS (SELECT x AS a, y AS b FROM nodes UNION SELECT x, c FROM nodes WHERE comp IS NOT NULL), links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_components("links")},
         torn AS (SELECT k.comp FROM nodes n JOIN comps k ON k.node = n.x GROUP BY 1 HAVING count(DISTINCT n.fold) > 1) SELECT DISTINCT n.comp FROM nodes n JOIN comps k ON k.node = n.x WHERE n.comp IS NOT NULL AND k.comp IN (SELECT comp FROM torn)""",
     "p2_components": f"""WITH RECURSIVE nodes AS (SELECT row_number() OVER () AS r, list_filter(['c' || comp, 'i' || id1, 'i' || id2], lambda x: x IS NOT NULL) AS n FROM folds_v1), links0 AS (SELECT n[1] AS a, unnest(n) AS b FROM nodes WHERE len(n) > 0), links AS (SELECT a, b FROM links0 UNION SELECT b, a FROM links0), {_components("links")}
