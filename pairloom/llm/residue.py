@@ -115,7 +115,10 @@ def document_features(texts: list[str], hashed: Hashed) -> tuple[np.ndarray, np.
     row = np.repeat(np.arange(len(texts)), sizes)
     pairs = (flat[:-1] * np.uint64(0x9E3779B1) + flat[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
     inner = row[:-1] == row[1:]
-    keys = np.unique(np.concatenate([row * DIMS + (flat % np.uint64(DIMS)).astype(np.int64), (row[:-1] * DIMS + (pairs % np.uint64(DIMS)).astype(np.int64))[inner]]))
+    kind = np.uint32 if len(texts) < 1 << 16 else np.uint64  # small keys sort faster
+    place = row.astype(kind) * kind(DIMS)
+    keys = np.sort(np.concatenate([place + (flat % np.uint64(DIMS)).astype(kind), (place[:-1] + (pairs % np.uint64(DIMS)).astype(kind))[inner]]))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])].astype(np.int64) if len(keys) else keys.astype(np.int64)
     at, col = keys // DIMS, keys % DIMS
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(texts))))
     own, where, weight = [], [], []
