@@ -48,6 +48,18 @@ def test_sinks(tmp_path, spark):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["id", "ok"]
 
 
+def test_tables_of_an_application_can_be_cleared(spark):
+    import os
+
+    from pairloom import workspace
+
+    t = write_table(spark.range(3))
+    folder = workspace.own_dir(spark)
+    assert t.path.startswith(folder) and os.path.isdir(folder.removeprefix("file://"))
+    workspace.clear(spark)
+    assert not os.path.exists(folder.removeprefix("file://")) and cut(spark.range(2)).count() == 2
+
+
 def test_workspace(spark):
     df = spark.range(10)
     assert cut(df).count() == 10
