@@ -43,4 +43,6 @@ TEXTS: dict[str, str] = {
         SELECT t.category, t.votes_from FROM sample_targets t, s WHERE (SELECT count(*) FROM pop WHERE k = regexp_replace(lower(t.category), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g') AND v BETWEEN t.votes_from AND t.votes_to) < greatest(t.min_rows::double, t.target_share * s.s)""",
     "p8_found": f"""WITH d AS (SELECT doc_id AS i, regexp_extract_all(lower(regexp_replace(text, '[{_VISIBLE}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT item_id AS i, regexp_extract_all(lower(regexp_replace(text, '[{_VISIBLE}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_passages WHERE text IS NOT NULL),
         dg AS (SELECT DISTINCT i, array_to_string(w[k:k + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS u(k)), pg AS (SELECT DISTINCT i, array_to_string(w[k:k + 7], ' ') AS g FROM p, unnest(range(1, len(w) - 6)) AS u(k)) SELECT DISTINCT dg.i AS doc_id, pg.i AS item_id FROM dg JOIN pg USING (g)""",
+    "p9_found": """WITH d AS (SELECT lower(regexp_replace(source, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')) AS src, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')) AS n FROM documents), k AS (SELECT src, sum(n) AS n FROM d WHERE src IS NOT NULL AND src <> '' GROUP BY 1)
+        SELECT t.source FROM mix_targets t LEFT JOIN k ON k.src = lower(regexp_replace(t.source, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')) WHERE coalesce(k.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM k)""",
 }
