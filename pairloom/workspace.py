@@ -67,6 +67,15 @@ class Table:
         _delete(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of stages that are over.
+
+    Executors keep them until the driver's garbage collector meets their handles, which in a small heap
+    may be never; a query of many stages asks for that once its large intermediate tables are dropped.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, label: str = "t") -> Table:
     """Write ``df`` under the shared folder and return it as a table with short lineage."""
     spark = df.sparkSession
