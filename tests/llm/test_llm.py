@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pairloom.llm import cards, fusion, groups, leakage, mixing, notation, overlap, products, quota, residue, splits
@@ -218,6 +219,30 @@ def test_what_no_list_names_is_learned(spark, sent):
     assert len(got) == len(rows)
 
 
+def test_the_driver_holds_few_learned_words(spark, monkeypatch):
+    word = lambda k: "".join("bdfgklmnpr"[int(x)] + "aeiouaeiou"[int(x)] for x in f"{k:03}")
+    rows = [(k, f"Fabo Lindo кувшин {word(k // 2)} 5 {word(500 + k // 2)} 3 {word(300 + k // 2)}", "П", json.dumps({"бренд": "fabo", "тип": word(900 + k // 2), "цвет": word(k // 2), "объем": f"5 {word(500 + k // 2)}", "количество в упаковке": f"3 {word(300 + k // 2)}"}, ensure_ascii=False)) for k in range(80)]
+    rows += [(100 + k, f"Fabo кувшин {w} {word(k)} {word(900 + k)[1:]} 7 {word(500 + k)} 9 {word(300 + k)}", "П", None) for k, w in enumerate(["Lindo", "x" * 70, "y" * 64] * 3)]
+    rows += [(200 + k, "Fabo", "П", json.dumps({"тип": "x" * 71 if k < 2 else "y" * 65})) for k in range(4)]
+    read = lambda sent: {r.id: r for r in cards.read_cards(card_table(spark, rows), sent=sent).df.collect()}
+    whole, sent, plain = read(1000), [], cards._lexicon
+    monkeypatch.setattr(cards, "_lexicon", lambda words: plain(sent.extend(words := list(words)) or words))
+    assert read(100) == whole and (whole[100].colour, whole[100].dim, whole[100].pack) == (word(0), word(500), 9) and whole[101].ident == whole[102].ident == ["fabo", "kuvshin"]
+    assert {role for role, _ in sent} <= {"shapes"}
+
+
+def test_a_lexicon_is_sent_without_what_can_be_made_of_it():
+    words = ["a" * 2000, *(f"слово{k}" for k in range(1000))]
+    assert len(cloudpickle.dumps(cards.Lexicon(known=set(words)))) < 100_000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=1, max_size=7), st.text("abc", min_size=1, max_size=7))
+def test_alike_words(a, b):
+    near = lambda w: {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+    assert cards._alike(a, b) == bool(near(a) & near(b)) if abs(len(a) - len(b)) < 2 else not cards._alike(a, b)
+
+
 PRODUCTS = [
     (1, "Roda Dememi кастрюля красная 500 мл", "Посуда", '{"бренд":"RODA","тип":"кастрюля","артикул":"ABC-12345"}'),
     (2, "кастрюлька Дедеми", "Посуда", '{"торговая марка":"Рода","серия":"dememi","объем":"0,5 л"}'),
