@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.cards import _TOKEN, read_cards
 from pairloom.llm.notation import fold
-from pairloom.workspace import cut
+from pairloom.workspace import cut, release
 
 #: Shared part, of the longer record, from which two records count as nearly the same.
 NEAR = 0.6
@@ -117,6 +117,7 @@ def chunked(cards: DataFrame) -> DataFrame:
     )
     done = cut(rows, "chunks")
     source.drop()
+    release(cards.sparkSession)
     return done
 
 
@@ -152,20 +153,43 @@ def _heavy(names: Column) -> Column:
 
 
 def _prefixes(side: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(id, total, facts, chunk, named): the chunks by which a record can be met, rarest first.
+    """(id, total, facts, chunk, before, ident, named): the chunks by which a record can be met, rarest first.
 
     Two records that share NEAR of the length of both share a chunk among the rarest up to more
     than 1 - NEAR of the length of either (``named`` false); two that share names of ALIKE share
-    one among the rarest names up to all but less than ALIKE (``named`` true).
+    one among the rarest names up to all but less than ALIKE (``named`` true).  ``before`` is the
+    length of the rarer chunks; where ``named``, it and ``ident`` are not needed and null.
     """
     each = side.select("id", F.explode(F.arrays_zip("chunks", "sizes")).alias("z"), "names").select("id", F.col("z.chunks").alias("chunk"), F.col("z.sizes").alias("size"), F.array_contains("names", F.col("z.chunks")).alias("name"))
     ranked = each.join(rarity, "chunk", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "chunk", "size", "name"))).alias("r"), F.sum("size").alias("total"))
-    ranked = ranked.join(side.select("id", "facts"), "id")
+    ranked = ranked.join(side.select("id", "facts", "ident"), "id")
     names = F.transform(F.filter("r", lambda x: x["name"]), lambda x: x.chunk)
     before = F.transform("r", lambda x, i: F.struct(x.df.alias("df"), x.chunk.alias("chunk"), F.aggregate(F.slice("r", 1, i), F.lit(0), lambda s, y: s + y["size"]).alias("before")))
-    rare = ranked.select("id", "total", "facts", F.explode(before).alias("p")).where("p.df > 1").where(F.col("p.before") <= (1 - NEAR) * F.col("total"))
+    rare = ranked.select("id", "total", "facts", "ident", F.explode(before).alias("p")).where("p.df > 1").where(F.col("p.before") <= (1 - NEAR) * F.col("total"))
     named = ranked.withColumn("n", names).select("id", "total", "facts", "n", F.posexplode("n").alias("pos", "chunk")).where(_heavy(F.slice("n", F.col("pos") + 1, F.size("n"))) >= ALIKE)
-    return rare.select("id", "total", "facts", F.col("p.chunk").alias("chunk"), F.lit(False).alias("named")).unionByName(named.select("id", "total", "facts", "chunk", F.lit(True).alias("named")))
+    rare = rare.select("id", "total", "facts", "p.chunk", "p.before", "ident", F.lit(False).alias("named"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in rare.dtypes if c in ("before", "ident")]
+    return rare.unionByName(named.select("id", "total", "facts", "chunk", *none, F.lit(True).alias("named")))
+
+
+def _kin(a: str, b: str) -> Column:
+    """Whether two cards have nearly the same brand or line word, or one has none at all."""
+    near_word = lambda w, ws: F.exists(ws, lambda v: F.levenshtein(v, w, 2) >= F.when((F.length(w) > 3) | (v == w), 0).otherwise(3))
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.exists(a, lambda w: near_word(w, F.col(b)))
+
+
+def candidates(left: DataFrame, right: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(id1, id2), distinct: rows of ``left`` and ``right`` (see chunked) that may be nearly the same.
+
+    What decides without all chunks decides here, so that few pairs are joined with them: the
+    facts, the lengths, the words of brand and line, and that all that two records share follows the first
+    chunk they share, in the order of rarity.  Pairs that are alike by name meet by their names as well.
+    """
+    p1, p2 = (_prefixes(x, rarity).select("chunk", "named", *[F.col(c).alias(f"{c}{n}") for c in ("id", "total", "before", "ident", "facts")]) for n, x in ((1, left), (2, right)))
+    longer = F.greatest("total1", "total2")
+    fits = F.when(F.col("named"), F.least("total1", "total2") >= NEAR_NAMED * longer).otherwise(F.least(F.col("total1") - F.col("before1"), F.col("total2") - F.col("before2")) >= NEAR * longer)
+    met = p1.join(p2, ["chunk", "named"]).where(fits & _calm("facts1", "facts2") & (F.col("id1") != F.col("id2")))
+    return met.where(F.col("named") | _kin("ident1", "ident2")).select("id1", "id2").distinct()
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
@@ -184,20 +208,16 @@ def overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     # only chunks that both sides have can be shared; their rarity is counted over both
     seen = both.select("side", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     rarity = cut(seen.where("lo < hi").select("chunk", "df"), "rarity")
-    p1, p2 = (_prefixes(x, rarity).select(F.col("id").alias(f"id{n}"), F.col("total").alias(f"total{n}"), F.col("facts").alias(f"f{n}"), "chunk", "named") for n, x in ((1, left), (2, right)))
-    fits = F.least("total1", "total2") >= F.when(F.col("named"), NEAR_NAMED).otherwise(NEAR) * F.greatest("total1", "total2")
-    candidates = p1.join(p2, ["chunk", "named"]).where(fits & _calm("f1", "f2") & (F.col("id1") != F.col("id2"))).select("id1", "id2").distinct()
+    met = cut(candidates(left, right, rarity), "candidates")
+    release(evaluation.sparkSession)  # the prefixes are far longer than the pairs
     one = lambda x, n: x.select(*[F.col(c).alias(f"{c}{n}") for c in ("id", "chunks", "sizes", "names", "ident")])
-    pairs = candidates.join(one(left, 1), "id1").join(one(right, 2), "id2")
+    pairs = met.join(one(left, 1), "id1").join(one(right, 2), "id2")
     total = lambda n: F.aggregate(f"sizes{n}", F.lit(0), lambda s, x: s + x)
     common = F.aggregate(F.filter(F.arrays_zip("chunks1", "sizes1"), lambda z: F.array_contains("chunks2", z.chunks1)), F.lit(0), lambda s, z: s + z.sizes1)
     scored = pairs.withColumn("common", common).withColumn("share1", F.col("common") / total(1)).withColumn("share2", F.col("common") / total(2))
-    near_word = lambda w, ws: F.exists(ws, lambda v: F.levenshtein(v, w) <= F.when(F.length(w) > 3, 2).otherwise(0))
-    kin = F.exists("ident1", lambda w: near_word(w, F.col("ident2")))
-    bare = (F.size("ident1") == 0) | (F.size("ident2") == 0)
     low = F.least("share1", "share2")
     alike = _heavy(F.array_intersect("names1", "names2")) >= ALIKE
-    near = ((low >= NEAR) & (kin | bare)) | (alike & (low >= NEAR_NAMED))
+    near = ((low >= NEAR) & _kin("ident1", "ident2")) | (alike & (low >= NEAR_NAMED))
     return scored.where(near).select("id1", "id2", "share1", "share2")
 
 

@@ -363,6 +363,20 @@ def test_overlaps(spark):
     assert overlap.overlaps(table([]), table(right)).count() == 0
 
 
+def test_cards_of_other_brands_are_no_candidates(spark):
+    same = {"материал": "сталь", "гарантия": "1 год", "сезон": "лето", "страна": "республика далёкая северная приморская", "примечание": "хранить в сухом тёмном месте вдали от печи"}
+    brands = ["gafosia", "rinexul", "popatem", "dulbako", "zumitre", "wekchon"]
+    row = lambda i, w: (i, f"Лампа {w}", json.dumps({"бренд": w, "серия": w[::-1], **same}, ensure_ascii=False))
+    left, right = [row(k, w) for k, w in enumerate(brands)], [row(50 + k, w) for k, w in enumerate([*brands, "gafosai"])]
+    rows = [(1, *r) for r in left] + [(2, *r) for r in right]
+    both = overlap.chunked(spark.createDataFrame(rows, "side int, id bigint, name string, attributes string"))
+    rarity = both.select("side", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("side").alias("k")).where("k = 2").drop("k")
+    met = ids(overlap.candidates(both.where("side = 1"), both.where("side = 2"), rarity), "id1", "id2")
+    assert met == sorted([(k, 50 + k) for k in range(len(brands))] + [(0, 56)])
+    table = lambda rows: spark.createDataFrame(rows, "id bigint, name string, attributes string")
+    assert ids(overlap.overlaps(table(left), table(right)), "id1", "id2") == met
+
+
 def test_overlaps_of_long_names_meet_by_their_last_words(spark):
     long = lambda tag: " ".join(f"{tag}{x}{x}a" for x in "bcdfghjklmnpq")
     same = json.dumps({"материал": "сталь", "гарантия": "1 год", "сезон": "лето", "страна": "республика далёкая северная приморская", "примечание": "хранить в сухом тёмном месте вдали от печи"}, ensure_ascii=False)
